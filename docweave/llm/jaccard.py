@@ -20,7 +20,8 @@ Method
      for each shingle.  Any linking pair shares a prefix shingle, hence a group.
   4. Large leader groups are cut into blocks (by nodes and by shingles), one
      task for each pair of blocks.  A pair that shares several groups belongs to the
-     smallest common leader.  Multi-match counts come first; what passes is
+     smallest common leader, among the groups that hold their share of matches.
+     Multi-match counts come first; what passes is
      verified on whole sets.  Only a spanning forest and link counts are emitted.
   5. Components by star rounds over the forests; copies join by fingerprint.
 
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import text as tx
-from .graph import components
+from .graph import components, forest
 from .scratch import Scratch
 
 SKETCH_BITS = 18
@@ -48,7 +49,7 @@ _BLOCKS = 64
 BLOCK_NODES = 256
 BLOCK_SHINGLES = 400_000
 #: Every document asks for at least one match more for each so many shingles.
-MATCH_EVERY = 25
+MATCH_EVERY = 12
 
 U64 = np.uint64
 _STAT = "doc_id long, n_shingles long, node long, block int, counts binary"
@@ -153,30 +154,30 @@ def _prefix_rows(order_of):
     return run_over
 
 
-_GROUP = pa.schema([("leader", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("node", pa.int64()), ("copies", pa.int64()), ("leaders", pa.list_(pa.int64())), ("prefix", pa.int32()), ("matches", pa.int32()), ("shingles", pa.binary())])
-_GROUP_SQL = "leader long, i int, j int, side int, node long, copies long, leaders array<long>, prefix int, matches int, shingles binary"
+_GROUP = pa.schema([("leader", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("node", pa.int64()), ("copies", pa.int64()), ("leaders", pa.list_(pa.int64())), ("text", pa.binary())])
+_GROUP_SQL = "leader long, i int, j int, side int, node long, copies long, leaders array<long>, text binary"
 
 
-def _group_rows(order_of):
-    """(text, node, copies, groups) -> a row for each block pair that the node takes part in."""
+def _group_rows():
+    """(text, node, copies, groups) -> a row for each block pair that the node takes part in.
+
+    The text travels and not the set: it is shorter, and packs better.
+    """
 
     def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = order_of.value
         for b in batches:
             node, copies, groups = (b.column(k).to_pylist() for k in (1, 2, 3))
             for run in tx.runs(b.column(0)):
                 rows, held = [], 0
                 for i, s in enumerate(tx.shingle_sets(run), run.first):
-                    s = order.arrange(s)
-                    p, m = order.prefix(s)
-                    raw = s.tobytes()
+                    if not len(s) or fingerprint(s) != node[i]:  # another row of a repeated doc_id
+                        continue
+                    raw = run.bytes_of(i - run.first).tobytes()
                     leaders = sorted({g["leader"] for g in groups[i]})
                     for g in groups[i]:
-                        n = g["blocks"]
-                        mine = (node[i] & 0x7FFFFFFF) % n
-                        for other in range(n):
-                            lo, hi = min(mine, other), max(mine, other)
-                            rows.append((g["leader"], lo, hi, mine, node[i], copies[i], leaders, p, m, raw))
+                        mine = (node[i] & 0x7FFFFFFF) % g["blocks"]
+                        for other in range(g["blocks"]):
+                            rows.append((g["leader"], min(mine, other), max(mine, other), mine, node[i], copies[i], leaders, raw))
                             held += len(raw)
                             if held > 8 << 20:
                                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _GROUP)], schema=_GROUP)
@@ -260,8 +261,7 @@ def _first_common(a: list[int], b: list[int]) -> int | None:
     return next((x for x in a if x in other), None)
 
 
-def _verify(percent: int):
-    from .graph import forest
+def _verify(percent: int, order_of):
 
     def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key, nodes = [], None, set()
@@ -277,18 +277,22 @@ def _verify(percent: int):
             cols = zip(*out) if out else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["u", "v", "links"])
 
+        order = order_of.value
         for b in batches:
-            for r in b.to_pylist():
-                k = (r["leader"], r["i"], r["j"])
-                if k != key:
-                    close()
-                    held, key, nodes = [], k, set()
-                if r["node"] in nodes:  # rows repeated in the table
-                    continue
-                nodes.add(r["node"])
-                r["set"] = np.frombuffer(r.pop("shingles"), U64)
-                r["n"] = len(r["set"])
-                held.append(r)
+            rest = b.drop_columns(["text"]).to_pylist()
+            for run in tx.runs(b.column(b.schema.get_field_index("text"))):
+                for r, s in zip(rest[run.first : run.last], tx.shingle_sets(run)):
+                    k = (r["leader"], r["i"], r["j"])
+                    if k != key:
+                        close()
+                        held, key, nodes = [], k, set()
+                    if r["node"] in nodes:  # rows repeated in the table
+                        continue
+                    nodes.add(r["node"])
+                    r["set"] = order.arrange(s)
+                    r["n"] = len(s)
+                    r["prefix"], r["matches"] = order.prefix(r["set"])
+                    held.append(r)
             if len(out) > 50_000:
                 yield batch()
                 out.clear()
@@ -323,8 +327,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 80)
     classes = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"))
     # a node whose shared prefix shingles are fewer than any partner would ask for has no links
     least = F.lit(1) + F.floor(F.ceil(F.col("n") * percent / 100) / MATCH_EVERY)
-    able = pairs.groupBy("node").agg(F.sum("tokens").alias("tokens")).join(classes, "node").where(F.col("tokens") >= F.least(least, F.ceil(F.col("n") * percent / 100)))
-    grouped = pairs.select("node", "leader").join(able.select("node", "first_id", "copies", "n"), "node")
+    least = F.least(least, F.ceil(F.col("n") * percent / 100))
+    able = pairs.groupBy("node").agg(F.sum("tokens").alias("all_tokens"), F.count(F.lit(1)).alias("groups")).join(classes, "node").withColumn("least", least).where("all_tokens >= least")
+    # the matches of a linking pair spread over at most so many groups: one of them holds its share on both sides
+    grouped = pairs.join(able, "node").where("tokens * groups >= least").select("node", "leader", "first_id", "copies", "n")
     size = grouped.groupBy("leader").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles")).where("nodes > 1")
     size = size.select("leader", F.greatest(F.ceil(F.col("nodes") / BLOCK_NODES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     wanted = grouped.join(size, "leader").groupBy("node", "first_id", "copies").agg(F.collect_list(F.struct("leader", "blocks")).alias("groups"))
@@ -332,8 +338,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 80)
 
     # a repeated doc_id may carry another text; its node tells which row is meant
     members_of = docs.join(wanted, "doc_id").select("text", "node", "copies", "groups")
-    members_of = members_of.mapInArrow(_only_node(order), _GROUP_SQL)
-    found = members_of.repartition(parts, "leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(_verify(percent), "u long, v long, links long")
+    members_of = members_of.mapInArrow(_group_rows(), _GROUP_SQL)
+    found = members_of.repartition(parts, "leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(_verify(percent, order), "u long, v long, links long")
     found = scratch.stage(found, "links")
     labels = components(found.where("v is not null").select("u", "v"), scratch)
     links = found.where("links is not null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
@@ -344,20 +350,3 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 80)
     classes = classes.join(least_id, "component").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return members.join(classes, (members["node"] == classes["node"]) & (members["n_shingles"] > 0), "left").select(
         members["doc_id"], members["n_shingles"], F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def _only_node(order):
-    rows = _group_rows(order)
-
-    def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nodes = b.column(1).to_numpy(zero_copy_only=False)
-            keep = np.zeros(b.num_rows, bool)
-            for run in tx.runs(b.column(0)):
-                for i, s in enumerate(tx.shingle_sets(run), run.first):
-                    keep[i] = len(s) > 0 and fingerprint(s) == nodes[i]
-            if not keep.all():
-                b = b.filter(pa.array(keep))
-            yield from rows([b])
-
-    return run_over

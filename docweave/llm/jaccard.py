@@ -337,7 +337,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 80)
     wanted = scratch.stage(wanted.withColumnRenamed("first_id", "doc_id"), "wanted")
 
     # a repeated doc_id may carry another text; its node tells which row is meant
-    members_of = docs.join(wanted, "doc_id").select("text", "node", "copies", "groups")
+    # texts move by one shuffle at every size: the wanted ids grow with the input
+    members_of = docs.hint("shuffle_merge").join(wanted, "doc_id").select("text", "node", "copies", "groups")
     members_of = members_of.mapInArrow(_group_rows(), _GROUP_SQL)
     found = members_of.repartition(parts, "leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(_verify(percent, order), "u long, v long, links long")
     found = scratch.stage(found, "links")

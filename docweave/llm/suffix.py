@@ -243,7 +243,7 @@ def _starts(length: int):
 
     def settle(b: pa.RecordBatch) -> pa.RecordBatch:
         anchor, doc, at, part, parts = (b.column(i).to_numpy() for i in (0, 1, 2, 4, 5))
-        run = next(tx.runs(b.column(3), 1 << 62))
+        run = next(tx.runs(b.column(3), 1 << 62, b.num_rows))
         start, count = at >> 7, at & 127
         sums = tx.prefix_hashes(run.data, tx.BYTE)
         owner = np.repeat(np.arange(len(doc)), count)

@@ -89,7 +89,7 @@ class Run:
         return self.data[self.offsets[i] : self.offsets[i + 1]]
 
 
-def runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[Run]:
+def runs(column: pa.Array, limit: int = RUN_BYTES, rows: int = 20_000) -> Iterator[Run]:
     """Cuts a string (or binary) column into runs; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -103,7 +103,7 @@ def runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[Run]:
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-        hi = min(hi, n, lo + 20_000)
+        hi = min(hi, n, lo + rows)
         yield Run(lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe_round_trip
 from .jaccard import jaccard_components
+from .packing import pack_documents
 from .suffix import substring_dedup
 
 
@@ -19,6 +20,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, _table(spark, sf_dir, "documents"), percent=80)
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(spark, _table(spark, sf_dir, "documents"), digest=True)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
@@ -33,7 +40,7 @@ def op7_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op5_suffix_array_dedup, op7_byte_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_best_fit_packing, op5_suffix_array_dedup, op7_byte_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:

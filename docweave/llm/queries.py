@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .bpe import bpe_round_trip
 from .jaccard import jaccard_components
 from .packing import pack_documents
+from .quality import quality_rules
 from .suffix import substring_dedup
 
 
@@ -20,6 +21,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, _table(spark, sf_dir, "documents"), percent=80)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(spark, _table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,7 +45,7 @@ def op7_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_best_fit_packing, op5_suffix_array_dedup, op7_byte_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op4_best_fit_packing, op5_suffix_array_dedup, op7_byte_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,6 +11,18 @@ from .jaccard import jaccard_components
 from .packing import pack_documents
 from .quality import quality_rules
 from .suffix import substring_dedup
+from .warc import warc_round_trip
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN f.first_id < p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first_id < p.page_id THEN f.first_id END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
+"""
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +56,13 @@ def op7_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.lower(F.hex("ids")).alias("ids_sha256"), F.lower(F.hex("decoded")).alias("decoded_sha256"))
 
 
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(spark, _table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op4_best_fit_packing, op5_suffix_array_dedup, op7_byte_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op4_best_fit_packing, op5_suffix_array_dedup, op7_byte_bpe_round_trip, op9_warc_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc_round_trip": OP9_SQL}

@@ -2,8 +2,8 @@
 
 Merging a pre-token always takes the pair of least rank, leftmost among equals.
 Pairs wait in one bucket a rank, holding positions of a doubly linked list of
-parts.  A three-level bitmap (64 ways each) over the ranks has a bit for each bucket in use;
-find-first-set from the top gives the least rank in three steps whatever the
+parts.  A two-level bitmap (256 ranks a word, one word over the words) has a bit for
+each bucket in use; find-first-set from the top gives the least rank in two steps whatever the
 queue holds, so a pre-token of n bytes takes O(n log n) and not O(n^2).  Entries
 whose pair has changed since are skipped when they surface.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -34,6 +35,34 @@ CACHE_CHARS = 48
 _SLICE = 64
 
 
+#: Letters, numbers and white space of Unicode below U+0250.
+_LATIN = {"\\p{L}": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "\\p{N}": "0-9\xb2\xb3\xb9\xbc-\xbe", "\\s": "\t-\r \x85\xa0"}
+_WIDE = re.compile("[^\x00-\u024f]").search
+
+
+def latin_pattern(pattern: str) -> str | None:
+    """The same pattern for texts below U+0250, in explicit classes that the plain ``re`` engine takes; else None."""
+    out, i, inside = [], 0, False
+    while i < len(pattern):
+        for name, chars in _LATIN.items():
+            if pattern.startswith(name, i):
+                out.append(chars if inside else f"[{chars}]")
+                i += len(name)
+                break
+        else:
+            if pattern.startswith("\\S", i) and not inside:
+                out.append(f"[^{_LATIN['\\s']}]")
+                i += 2
+                continue
+            c = pattern[i]
+            if c == "\\" or c == "." or (c in "+*?}" and pattern[i + 1 : i + 2] == "+") or (c == "(" and pattern[i + 1 : i + 3] not in ("?!", "?=", "?:")):
+                return None
+            inside = c == "[" or (inside and c != "]")
+            out.append(c)
+            i += 1
+    return "".join(out)
+
+
 class RankQueue:
     """The bitmap levels and the buckets of the ranks in use.
 
@@ -41,13 +70,11 @@ class RankQueue:
     would cost more than the step.
     """
 
-    __slots__ = ("low", "mid", "buckets")
+    __slots__ = ("low", "buckets")
 
     def __init__(self, ranks: int) -> None:
-        words = (ranks >> 6) + 1
-        self.low = [0] * words
-        self.mid = [0] * ((words >> 6) + 1)
-        self.buckets: dict[int, list[int]] = {}
+        self.low = [0] * ((ranks >> 8) + 1)
+        self.buckets: dict[int, int | list[int]] = {}
 
 
 class Encoder(dict):
@@ -56,11 +83,14 @@ class Encoder(dict):
     def __init__(self, vocabulary: bytes, pattern: str) -> None:
         super().__init__()
         self.ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in vocabulary.splitlines() if line)}
-        self.tokens = {r: t for t, r in self.ranks.items()}
+        tokens = {r: t for t, r in self.ranks.items()}
+        self.tokens = [tokens.get(r) for r in range(max(tokens) + 1)]
         self.packed = {t: r.to_bytes(4, "little") for t, r in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
-        self.queue = RankQueue(max(self.tokens) + 1)
+        self.queue = RankQueue(len(self.tokens))
         self.find = regex.compile(pattern).findall
+        narrow = latin_pattern(pattern)
+        self.narrow = re.compile(narrow).findall if narrow else None
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -78,43 +108,44 @@ class Encoder(dict):
     def merge(self, raw: bytes) -> bytes:
         n = len(raw)
         get, longest, queue = self.ranks.get, self.longest, self.queue
-        low, mid, top, buckets = queue.low, queue.mid, 0, queue.buckets
+        low, buckets, top = queue.low, queue.buckets, 0
         after = list(range(1, n + 1))  # start of the next part, which is this part's end
         before = list(range(-1, n - 1))
         wait = [get(raw[i : i + 2], -1) for i in range(n)]  # rank of the pair that starts here
         wait[-1] = -1
-        fresh = [(r, i) for i, r in enumerate(wait) if r >= 0]
+        fresh = range(n)  # where a pair has appeared
         while True:
-            for r, i in fresh:
-                if r in buckets:
-                    heappush(buckets[r], i)
+            for i in fresh:
+                if (r := wait[i]) < 0:
+                    continue
+                if (bucket := buckets.get(r)) is None:
+                    buckets[r] = i  # most hold one position, and need no list
+                    a = r >> 8
+                    top |= 1 << a
+                    low[a] |= 1 << (r & 255)
+                elif bucket.__class__ is int:
+                    buckets[r] = [bucket, i] if bucket < i else [i, bucket]
                 else:
-                    buckets[r] = [i]
-                    a = r >> 6
-                    if not low[a]:
-                        mid[a >> 6] |= 1 << (a & 63)
-                        top |= 1 << (a >> 6)
-                    low[a] |= 1 << (r & 63)
-            fresh = []
-            if not top:
-                break
-            # find-first-set, level by level
-            c = (top & -top).bit_length() - 1
-            word = mid[c]
-            a = c << 6 | (word & -word).bit_length() - 1
-            word = low[a]
-            rank = a << 6 | (word & -word).bit_length() - 1
-            bucket = buckets[rank]
-            i = heappop(bucket) if len(bucket) > 1 else bucket.pop()
-            if not bucket:
-                del buckets[rank]
-                low[a] = word & (word - 1)
-                if not low[a]:
-                    mid[c] &= mid[c] - 1
-                    if not mid[c]:
+                    heappush(bucket, i)
+            while top:
+                # find-first-set, level by level
+                a = (top & -top).bit_length() - 1
+                word = low[a]
+                rank = a << 8 | (word & -word).bit_length() - 1
+                i = buckets[rank]
+                if i.__class__ is list and len(i) > 1:
+                    i = heappop(i)
+                else:
+                    if i.__class__ is list:
+                        i = i[0]
+                    del buckets[rank]
+                    low[a] = word = word & (word - 1)
+                    if not word:
                         top &= top - 1
-            if wait[i] != rank:
-                continue  # stale
+                if wait[i] == rank:
+                    break  # else stale
+            else:
+                break
             j = after[i]
             k = after[i] = after[j]
             wait[j] = r = -1
@@ -122,15 +153,14 @@ class Encoder(dict):
                 before[k] = i
                 if (end := after[k]) - i <= longest:
                     r = get(raw[i:end], -1)
-                    if r >= 0:
-                        fresh.append((r, i))
             wait[i] = r
             h = before[i]
             if h >= 0:
                 r = get(raw[h:k], -1) if k - h <= longest else -1
-                if r >= 0 and wait[h] != r:
-                    fresh.append((r, h))
+                fresh = (i, h) if r != wait[h] else (i,)
                 wait[h] = r
+            else:
+                fresh = (i,)
         out, i, packed = [], 0, self.packed
         while i < n:
             out.append(packed[raw[i : after[i]]])
@@ -138,7 +168,8 @@ class Encoder(dict):
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.find(text)))
+        find = self.find if self.narrow is None or _WIDE(text) else self.narrow
+        return b"".join(map(self.__getitem__, find(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

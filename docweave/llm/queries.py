@@ -11,6 +11,7 @@ from .jaccard import jaccard_components
 from .packing import pack_documents
 from .quality import quality_rules
 from .suffix import substring_dedup
+from .toxicity import toxicity_scores
 from .warc import warc_round_trip
 
 
@@ -60,8 +61,12 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(spark, _table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op4_best_fit_packing, op5_suffix_array_dedup, op7_byte_bpe_round_trip, op9_warc_round_trip)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op4_best_fit_packing, op5_suffix_array_dedup, op7_byte_bpe_round_trip, op9_warc_round_trip, op10_compression_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

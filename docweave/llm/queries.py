@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe_round_trip
 from .jaccard import jaccard_components
+from .lines import line_dedup
 from .packing import pack_documents
 from .quality import quality_rules
 from .suffix import substring_dedup
@@ -15,6 +16,17 @@ from .toxicity import toxicity_scores
 from .warc import warc_round_trip
 
 
+OP6_SQL = """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS site, string_split(text, chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, site, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM d),
+k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS core FROM l),
+b AS (SELECT core FROM k WHERE core <> '' GROUP BY core HAVING count(DISTINCT site) >= 10),
+f AS (SELECT doc_id, line, pos, core IN (SELECT core FROM b) AS goes FROM k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_removed_lines,
+       md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes), '')) AS text_md5
+FROM f GROUP BY doc_id
+"""
+
 OP9_SQL = """
 WITH p AS (
   SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
@@ -50,6 +62,11 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.lower(F.hex("kept")).alias("kept_sha256"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(spark, _table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", F.md5("text").alias("text_md5"))
+
+
 def op7_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,8 +83,8 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op4_best_fit_packing, op5_suffix_array_dedup, op7_byte_bpe_round_trip, op9_warc_round_trip, op10_compression_toxicity)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op4_best_fit_packing, op5_suffix_array_dedup, op6_line_dedup, op7_byte_bpe_round_trip, op9_warc_round_trip, op10_compression_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc_round_trip": OP9_SQL}
+    return {"op6_line_dedup": OP6_SQL, "op9_warc_round_trip": OP9_SQL}

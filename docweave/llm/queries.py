@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .bpe import bpe_round_trip
 from .jaccard import jaccard_components
 from .lines import line_dedup
+from .neardup import embedding_components
 from .packing import pack_documents
 from .quality import quality_rules
 from .suffix import substring_dedup
@@ -50,6 +51,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark, _table(spark, sf_dir, "documents"))
 
 
+def op3_sorted_projection_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -83,7 +88,7 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op4_best_fit_packing, op5_suffix_array_dedup, op6_line_dedup, op7_byte_bpe_round_trip, op9_warc_round_trip, op10_compression_toxicity)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_sorted_projection_neardup, op4_best_fit_packing, op5_suffix_array_dedup, op6_line_dedup, op7_byte_bpe_round_trip, op9_warc_round_trip, op10_compression_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -48,7 +48,7 @@ class ChunkIds:
     """
 
     MARK = b"\x01"
-    _STOP = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,])(?=[ \n])")
+    _STOP = re.compile(rb"[.,](?=[ \n])(?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
 
     def __init__(self, tokenizer_json: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -76,20 +76,24 @@ class ChunkIds:
         return [np.array(self._ids(c), "<u4").tobytes() for c in chunks]
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
-        chunks = [self._STOP.sub(rb" \1", raw.lower()).split() for raw in raws]
-        known, older, local = self.known, self.older, {}
-        missing = set().union(*chunks).difference(known)
-        again = missing.intersection(older)
-        known.update(zip(again, map(older.__getitem__, again)))
-        new = list(missing.difference(again))
+        chunks = [self._STOP.sub(rb" \g<0>", raw.lower()).split() for raw in raws]
+        known, older = self.known, self.older
+        # the chunks of a few documents first: a small dict, which stays in the processor's cache
+        here = set().union(*chunks)
+        local = dict(zip(here, map(known.get, here)))
+        new = []
+        for c in [c for c, ids in local.items() if ids is None]:
+            ids = older.get(c)
+            if ids is None:
+                new.append(c)
+            else:
+                known[c] = local[c] = ids
         for lo in range(0, len(new), 256):
             part = new[lo : lo + 256]
-            for c, ids in zip(part, self._encode(part)):
-                (known if len(c) <= _LONG_CHUNK else local)[c] = ids
-        if local:
-            out = [b"".join([known[c] if c in known else local[c] for c in x]) for x in chunks]
-        else:
-            out = [b"".join(map(known.__getitem__, x)) for x in chunks]
+            ids = self._encode(part)
+            local.update(zip(part, ids))
+            known.update(x for x in zip(part, ids) if len(x[0]) <= _LONG_CHUNK)
+        out = [b"".join(map(local.__getitem__, x)) for x in chunks]
         if len(known) > CACHE_ENTRIES:  # what is in use comes back from the older half
             self.older, self.known = known, {}
         return out

@@ -12,6 +12,7 @@ from .lines import line_dedup
 from .neardup import embedding_components
 from .packing import pack_documents
 from .quality import quality_rules
+from .scoring import mixing_scores
 from .suffix import substring_dedup
 from .toxicity import toxicity_scores
 from .warc import warc_round_trip
@@ -79,6 +80,10 @@ def op7_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.lower(F.hex("ids")).alias("ids_sha256"), F.lower(F.hex("decoded")).alias("decoded_sha256"))
 
 
+def op8_context_mixing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_scores(spark, _table(spark, sf_dir, "documents"))
+
+
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(spark, _table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -88,7 +93,7 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_sorted_projection_neardup, op4_best_fit_packing, op5_suffix_array_dedup, op6_line_dedup, op7_byte_bpe_round_trip, op9_warc_round_trip, op10_compression_toxicity)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_sorted_projection_neardup, op4_best_fit_packing, op5_suffix_array_dedup, op6_line_dedup, op7_byte_bpe_round_trip, op8_context_mixing_scores, op9_warc_round_trip, op10_compression_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

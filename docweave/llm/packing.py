@@ -37,6 +37,7 @@ END_ID = 2
 GROUP = 40_000
 CACHE_ENTRIES = 600_000
 _LONG_CHUNK = 64
+RUN_BYTES = 1 << 21
 
 
 class ChunkIds:
@@ -63,7 +64,7 @@ class ChunkIds:
         self.older: dict[bytes, bytes] = {}
 
     def _ids(self, text: bytes) -> list[int]:
-        return self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids  # without offsets
 
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
         if len(self.mark) == 1 and not any(self.MARK in c for c in chunks):
@@ -115,7 +116,7 @@ def _pieces(tokenizer, window: int, end_id: int, with_ids: bool):
             encoder = _encoders[key] = ChunkIds(tokenizer.value)
         for b in batches:
             doc_ids = b.column(0).to_pylist()
-            for run in tx.runs(b.column(1)):
+            for run in tx.runs(b.column(1), RUN_BYTES):
                 rows = []
                 for i, ids in enumerate(encoder.encode([run.bytes_of(i).tobytes() for i in range(len(run))]), run.first):
                     ids += end

@@ -194,16 +194,18 @@ _PART = pa.schema([("kind", pa.int32()), ("row", pa.int64()), ("doc", pa.int64()
 _DONE, _OPEN, _CONTEXT = 0, 1, 2
 
 
-def _finish(raw: np.ndarray, start: np.ndarray, end: np.ndarray, digest: bool) -> tuple[bytes, list[int]]:
+def _finish(raw: np.ndarray, start: np.ndarray, end: np.ndarray, output: str) -> tuple[bytes, list[int]]:
     start, end = merge_spans(start, end)
     keep = np.ones(len(raw), bool)
     for a, b in zip(start.tolist(), end.tolist()):
         keep[a:b] = False
     kept = raw[keep].tobytes()
-    return (hashlib.sha256(kept).digest() if digest else kept), np.column_stack([start, end]).ravel().tolist()
+    if output == "text":
+        kept = kept.decode(errors="ignore").encode()
+    return (hashlib.sha256(kept).digest() if output == "sha256" else kept), np.column_stack([start, end]).ravel().tolist()
 
 
-def _open_runs(length: int, k: int, digest: bool):
+def _open_runs(length: int, k: int, output: str):
     """(doc, text, ats) -> finished documents, open documents, and the contexts of open runs."""
 
     def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +224,7 @@ def _open_runs(length: int, k: int, digest: bool):
                         spans = np.column_stack(merge_spans(start, end)).ravel().tolist()
                         rows.append((_OPEN, len(raw), ids[r], None, None, raw.tobytes(), spans))
                     else:
-                        kept, spans = _finish(raw, start, end, digest)
+                        kept, spans = _finish(raw, start, end, output)
                         rows.append((_DONE, len(raw), ids[r], None, None, kept, spans))
                 if todo:
                     doc, start, count, anchor, _ = anchored_runs(run, length, k)
@@ -293,7 +295,7 @@ def _starts(length: int):
     return run_over
 
 
-def _close(length: int, digest: bool):
+def _close(length: int, output: str):
     def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, sizes, spans, more = (b.column(i).to_pylist() for i in (0, 1, 3, 4))
@@ -304,7 +306,7 @@ def _close(length: int, digest: bool):
                     old = np.array(spans[r] or (), np.int64).reshape(-1, 2)
                     new = np.array([(m["start"], m["start"] + m["count"] + length - 1) for m in more[r] or ()], np.int64).reshape(-1, 2)
                     both = np.concatenate([old, new])
-                    kept, out = _finish(run.bytes_of(i), both[:, 0], both[:, 1], digest)
+                    kept, out = _finish(run.bytes_of(i), both[:, 0], both[:, 1], output)
                     rows.append((ids[r], sizes[r], kept, out))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))], names=["doc", "n_bytes", "kept", "spans"])
 
@@ -312,28 +314,30 @@ def _close(length: int, digest: bool):
 
 
 def _with_keys(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """(doc, text), doc a unique key in the documents' order; where that is not doc_id, also (doc, doc_id)."""
+    """(doc, text), doc a unique key in the documents' order; and (doc, doc_id, other columns) where there is more to know."""
     twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
     if twice.isEmpty():
-        return docs.select(F.col("doc_id").alias("doc"), "text"), None
+        rest = docs.drop("text").withColumn("doc", F.col("doc_id")) if len(docs.columns) > 2 else None
+        return docs.select(F.col("doc_id").alias("doc"), "text"), rest
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
     keyed = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    keyed = scratch.stage(keyed.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"), "keyed")
-    return keyed.select("doc", "text"), keyed.select("doc", "doc_id")
+    keyed = scratch.stage(keyed.select(F.monotonically_increasing_id().alias("doc"), "*"), "keyed")
+    return keyed.select("doc", "text"), keyed.drop("text")
 
 
-def substring_dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH, digest: bool = False) -> DataFrame:
+def substring_dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH, output: str = "bytes", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, spans, kept), a row for each row of ``docs``.
 
     spans: array<struct<start, end>> of the maximal removed byte runs; kept: the
-    remaining bytes (``digest``: their SHA-256, so that texts need not be kept).
+    remaining bytes, or by ``output`` their "sha256" (texts are then not kept) or "text",
+    without characters of which a part has gone.  Columns named in ``carry`` come along.
     """
     if not 80 <= length <= 120:
         raise ValueError("length must be from 80 to 120 bytes")
     k = ANCHOR
     scratch = Scratch(spark, "suffix")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`") for c in carry if c not in ("doc_id", "text")))
     keyed, names = _with_keys(docs, scratch)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -342,7 +346,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH,
     home = F.when(state == _HOT, F.xxhash64("anchor", "rank")).when(state == _GONE, F.xxhash64("doc", "at")).otherwise(F.xxhash64("anchor"))
     judged = runs.repartition(parts, home).sortWithinPartitions("anchor", "rank", "doc", "at").mapInArrow(_judge, "doc long, at long")
     lists = judged.groupBy("doc").agg(F.collect_list("at").alias("ats"))
-    split = keyed.join(lists, "doc", "left").select("doc", "text", "ats").mapInArrow(_open_runs(length, k, digest), _PART_SQL)
+    split = keyed.join(lists, "doc", "left").select("doc", "text", "ats").mapInArrow(_open_runs(length, k, output), _PART_SQL)
     split = scratch.stage(split, "split")
 
     contexts = split.where(F.col("kind") == _CONTEXT).select("anchor", "doc", "at", "bytes")
@@ -357,11 +361,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH,
     starts = contexts.repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_starts(length), "doc long, start long, count long")
     more = starts.groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("more"))
     schema = "doc long, n_bytes long, kept binary, spans array<long>"
-    closed = split.where(F.col("kind") == _OPEN).select("doc", "row", "bytes", "spans").join(more, "doc", "left").select("doc", "row", "bytes", "spans", "more").mapInArrow(_close(length, digest), schema)
+    closed = split.where(F.col("kind") == _OPEN).select("doc", "row", "bytes", "spans").join(more, "doc", "left").select("doc", "row", "bytes", "spans", "more").mapInArrow(_close(length, output), schema)
     done = split.where(F.col("kind") == _DONE).select("doc", F.col("row").alias("n_bytes"), F.col("bytes").alias("kept"), "spans")
     out = done.unionByName(closed)
     pairs = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), lambda i: F.struct(F.get("spans", 2 * i).alias("start"), F.get("spans", 2 * i + 1).alias("end")))
     out = out.withColumn("spans", F.when(F.size("spans") > 0, pairs).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>")))
     if names is None:
         return out.select(F.col("doc").alias("doc_id"), "n_bytes", "spans", "kept")
-    return out.join(names, "doc").select("doc_id", "n_bytes", "spans", "kept")
+    return out.join(names, "doc").select("doc_id", "n_bytes", "spans", "kept", *(f"`{c}`" for c in carry if c not in ("doc_id", "text")))

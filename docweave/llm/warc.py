@@ -16,8 +16,8 @@ taken out of their chunks.  Whatever does not add up becomes a row with an
 ``error`` instead of a payload.
 
 Edge cases: a null html is an empty payload; a null url an empty target.  Pages
-with a null page_id are responses of their own.  Repeated page_ids with equal
-payloads: one response, the others revisit it (page_id then names both).
+with a null page_id are responses of their own.  Repeated rows of one page_id
+each come out, alike.
 Other columns are ignored.
 """
 
@@ -57,10 +57,10 @@ def assign_records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> Data
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha2(F.col("html").cast("binary"), 256), "row_id": F.monotonically_increasing_id()})
     # minimum by digest first, then a join: a digest of very many copies is reduced before it moves
-    first = p.where((F.col("payload_bytes") >= revisit_bytes) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min(F.struct("page_id", "row_id")).alias("first"))
+    first = p.where((F.col("payload_bytes") >= revisit_bytes) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min("page_id").alias("first"))
     p = p.join(first, "payload_digest", "left")
-    revisit = F.col("first").isNotNull() & F.col("page_id").isNotNull() & (F.col("payload_bytes") >= revisit_bytes) & (F.struct("page_id", "row_id") != F.col("first"))
-    return p.withColumns({"record_type": F.when(F.coalesce(revisit, F.lit(False)), "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("first.page_id"))}).drop("first")
+    revisit = F.col("first").isNotNull() & F.col("page_id").isNotNull() & (F.col("payload_bytes") >= revisit_bytes) & (F.col("page_id") != F.col("first"))
+    return p.withColumns({"record_type": F.when(F.coalesce(revisit, F.lit(False)), "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("first"))}).drop("first")
 
 
 def record_texts(p: DataFrame, segment_chars: int = SEGMENT_CHARS) -> DataFrame:

@@ -28,6 +28,7 @@ def plain(v: Any) -> Any:
 class Handle:
     def __init__(self, path: str, kind: T.DataType, meta: dict | None = None) -> None:
         self.path, self.kind, self.meta = path, kind, meta or {}
+        self._path, self._kind = path, kind
 
     def exists(self) -> q.Clause:
         return q.Exists(self.path)
@@ -159,31 +160,40 @@ class MapField(Handle):
 
 
 class Group(Handle):
-    """An object: its fields are attributes."""
+    """An object: its fields are attributes, before anything else of that name, and items."""
+
+    def __getattribute__(self, name: str) -> Any:
+        if not name.startswith("_"):
+            kind = object.__getattribute__(self, "__dict__").get("_kind")
+            kind = kind.elementType if isinstance(kind, T.ArrayType) else kind
+            if kind is not None and name in kind.names:
+                return self[name]
+        return object.__getattribute__(self, name)
 
     def __getattr__(self, name: str) -> Any:
-        kind = self.kind.elementType if isinstance(self.kind, T.ArrayType) else self.kind
-        if name.startswith("__") or name not in kind.names:
-            raise AttributeError(f"`{self.path or 'the document'}` has no field `{name}`")
+        raise AttributeError(f"`{self._path or 'the document'}` has no field `{name}`")
+
+    def __getitem__(self, name: str) -> Handle:
+        kind = self._kind.elementType if isinstance(self._kind, T.ArrayType) else self._kind
         f = kind[name]
-        return handle(f"{self.path}.{name}" if self.path else name, f.dataType, f.metadata)
+        return handle(f"{self._path}.{name}" if self._path else name, f.dataType, f.metadata)
 
 
 class NestedField(Group):
     def any(self, query: q.Clause, **o: Any) -> q.Clause:
-        return q.Nested(self.path, query, **o)
+        return q.Nested(self._path, query, **o)
 
     def all(self, query: q.Clause) -> q.Clause:
-        return q.Nested(self.path, query, how="all")
+        return q.Nested(self._path, query, how="all")
 
     def exists(self) -> q.Clause:
-        return q.Nested(self.path, how="exists")
+        return q.Nested(self._path, how="exists")
 
     def matching(self, query: q.Clause | None = None, sort: tuple[Sort, ...] = (), start: int = 0, size: int = 3) -> Any:
         """Projection: only these elements come back, without changing which documents match."""
         from .search import NestedProjection
 
-        return NestedProjection(self.path, query, tuple(sort), start, size)
+        return NestedProjection(self._path, query, tuple(sort), start, size)
 
 
 def handle(path: str, kind: T.DataType, meta: dict | None = None) -> Handle:

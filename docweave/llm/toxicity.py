@@ -176,7 +176,7 @@ def _score(model):
 
 
 def toxicity_scores(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5, max_toxic: int = 3000, max_ordinary: int = 6000, min_z: float = 8.5
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5, max_toxic: int = 2000, max_ordinary: int = 4000, min_z: float = 8.5
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_windows), a row for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -8,13 +8,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from docweave.llm.bpe import Encoder, bpe_round_trip, latin_pattern
 from docweave.llm.lines import line_dedup
 from docweave.llm.packing import BestFit, best_fit_decreasing, pack_documents
 from docweave.llm.quality import CLASSES, GRAMS, KneserNey, quality_rules
-from docweave.llm.scoring import mixing_scores
+from docweave.llm.scoring import Bits, Tables, _count_bits, mixing_scores
 from docweave.llm.suffix import substring_dedup
 from docweave.llm.toxicity import toxicity_scores
 
@@ -215,6 +216,17 @@ def test_scoring_beats_the_base_on_held_out(spark):
     assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held) * 1.02
 
 
+def test_scoring_knows_a_letter_after_its_last_one():
+    words = [bytes([c]) + b"qu" for c in range(97, 123) if c != ord("k")]
+    blocks = list(_count_bits(iter([pa.RecordBatch.from_arrays([pa.array(words, pa.binary())], names=["word"])])))[0]
+    counts = np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in blocks.column("counts")])
+    bits = Bits([b"kqu"])
+    x, (_, depth) = Tables(counts).price_inputs(bits)
+    u = slice(16, 24)  # after "kq", which no word has; "q" is always followed by "u"
+    assert (depth[u] // 4 == 1).all()
+    assert (sum(x)[u] * np.where(bits.bit[u] == 1, 1, -1) > 2).all()
+
+
 def _toxic_rows(n):
     return [(i, prose(i, 120) + (" vilenessword rottenone" if i % 4 == 0 else "") + " " + prose(9000 + i, 60), "en", "s", 1) for i in range(n)]
 

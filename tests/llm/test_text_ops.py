@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -56,6 +57,16 @@ def test_quality_bands_reject_noise(spark):
     assert all(kept[i] for i in range(80)) and not any(kept[500 + i] for i in range(3))
 
 
+def test_quality_bands_reject_scrambled_words(spark):
+    def scrambled(seed, share):
+        r = random.Random(seed)
+        return " ".join("".join(r.sample(w, len(w))) if r.random() < share else w for w in prose(seed, 400).split())
+
+    rows = [(i, prose(i, 400), "en", "s", 1) for i in range(200)] + [(500 + i, scrambled(500 + i, i / 40), "en", "s", 1) for i in range(16)]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules(spark, frame(spark, rows)).collect()}
+    assert all(kept[i] for i in range(200)) and not any(kept[500 + i] for i in range(2, 16))
+
+
 def test_kneser_ney_is_a_distribution():
     rng = np.random.default_rng(0)
     grams, counts = np.unique(rng.integers(0, 4, 5000) * 32**3 + rng.integers(0, 5, 5000) * 32**2 + rng.integers(0, 6, 5000) * 32 + rng.integers(0, 7, 5000), return_counts=True)

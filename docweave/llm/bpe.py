@@ -30,6 +30,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import text as tx
+
 CACHE_ENTRIES = 500_000
 CACHE_CHARS = 48
 _SLICE = 64
@@ -175,19 +177,13 @@ class Encoder(dict):
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def _round_trip(vocabulary, pattern: str, digest: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
     def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a worker process serves many tasks; what it has learned of one vocabulary stays
-        key = hash((vocabulary.value, pattern))
-        encoder = _encoders.get(key)
-        if encoder is None:
-            _encoders.clear()
-            encoder = _encoders[key] = Encoder(vocabulary.value, pattern)
+        raw = vocabulary.value
+        encoder = tx.worker_slot(("bpe", hash((raw, pattern))), lambda: Encoder(raw, pattern))
         for b in batches:
             for lo in range(0, b.num_rows, _SLICE):
                 part = b.slice(lo, _SLICE)

@@ -66,6 +66,7 @@ def _slot(s: np.ndarray) -> np.ndarray:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tx.worker_slot("jaccard", lambda: None)
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     for b in batches:
         sizes, nodes = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)

@@ -4,16 +4,15 @@ A line on at least ``min_sites`` sites is boilerplate and goes from every docume
 the first one too; the other lines stay in order.  Lines compare after trimming
 blanks at both ends; blank lines never go.
 
-  1. Line hashes of one site only (least site hash = greatest) are done: two
-     longs a line, reduced before the shuffle.
-  2. For the rest, HyperLogLog sketches of the sites merge by aggregation, so a line
-     on a billion pages costs one sketch a task.
-  3. Estimates within ``margin`` of the threshold are settled by exact distinct
+  1. HyperLogLog sketches of the sites merge by aggregation, first in each task and
+     then by line, so a line on a billion pages costs one sketch a task.  The
+     least and the greatest site hash go along: where they are equal the line has one site.
+  2. Estimates within ``margin`` of the threshold are settled by exact distinct
      counts; outside it, the sketch's error (1.6 % at 2**12 registers) cannot reach
      the threshold, so the result is that of exact counts.
 
-All in Spark's own functions.  The boilerplate hashes are joined, not
-collected; Spark broadcasts them only under its size limit.
+All in Spark's own functions.  Near and boilerplate hashes are joined, not collected; up to
+``BROADCAST_LINES`` of them are broadcast, more are joined by line.
 
 Edge cases: null text stays null, with no lines; an empty text is one blank
 line.  A null site counts as one site named "".  Repeated rows come out row for
@@ -29,6 +28,7 @@ from .scratch import Scratch
 MIN_SITES = 10
 LG_REGISTERS = 12
 MARGIN = 0.15
+BROADCAST_LINES = 200_000
 BLANKS = " \t\r\x0b\x0c"
 
 
@@ -41,33 +41,38 @@ def _line_hashes(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), one)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A staged table of line hashes, for a join: broadcast where its size allows it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_LINES else df
+
+
 def boilerplate_hashes(spark: SparkSession, docs: DataFrame, site: str, min_sites: int, margin: float, scratch: Scratch) -> DataFrame:
     """(line): hashes of the lines on at least ``min_sites`` sites."""
-    lines = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.explode(_line_hashes(F.col("text"))).alias("line")).where("line is not null")
-    lines = lines.withColumn("site_hash", F.xxhash64("site"))
-    wide = lines.groupBy("line").agg(F.min("site_hash").alias("a"), F.max("site_hash").alias("b")).where("a <> b").select("line")
-    spread = lines.select("line", "site_hash").join(wide, "line", "left_semi").groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site_hash", LG_REGISTERS)).alias("sites"))
-    spread = scratch.stage(spread.where(F.col("sites") >= min_sites * (1 - margin)), "spread")
+    lines = docs.select(F.coalesce(F.col(f"`{site}`").cast("string"), F.lit("")).alias("site"), F.explode(_line_hashes(F.col("text"))).alias("line")).where("line is not null")
+    site_hash = F.xxhash64("site")
+    spread = lines.groupBy("line").agg(F.hll_sketch_agg(site_hash, LG_REGISTERS).alias("sketch"), F.min(site_hash).alias("a"), F.max(site_hash).alias("b")).where("a <> b")
+    spread = spread.select("line", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites * (1 - margin))
+    spread = scratch.stage(spread, "spread")
     sure = spread.where(F.col("sites") > min_sites * (1 + margin)).select("line")
-    near = spread.where(F.col("sites") <= min_sites * (1 + margin)).select("line")
-    exact = lines.select("line", "site").join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites).select("line")
+    near = scratch.stage(spread.where(F.col("sites") <= min_sites * (1 + margin)).select("line"), "near")
+    # distinct sites first: a near line may still have very many occurrences
+    exact = lines.join(_small(near), "line", "left_semi").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites).select("line")
     return scratch.stage(sure.unionByName(exact), "boilerplate")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
-    """``docs`` with boilerplate lines out of ``text``, and n_lines and n_removed_lines (long) added."""
+    """``docs`` with boilerplate lines out of ``text``, and n_lines and n_removed_lines (long) added, in place of columns of these names."""
     if min_sites < 2:
         raise ValueError("min_sites must be at least 2")
     scratch = Scratch(spark, "lines")
     goes = boilerplate_hashes(spark, docs, site, min_sites, margin, scratch)
-    key = [F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__text")]
-    at = docs.where("text is not null").select(*key, F.posexplode(_line_hashes(F.col("text"))).alias("__at", "line")).where("line is not null")
-    hits = at.join(goes, "line").groupBy("__id", "__text").agg(F.collect_set("__at").alias("__gone"))
-    own = docs.select("*", *key).hint("shuffle_merge")
-    same = own["__id"].eqNullSafe(hits["__id"]) & (own["__text"] == hits["__text"])
-    joined = own.join(hits, same, "left").select(*[own[c] for c in docs.columns], hits["__gone"])
+    # the columns travel in one struct, so no name of theirs meets one used here
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")).withColumn("of_text", F.xxhash64("text"))
+    at = own.where("text is not null").select("id", "of_text", F.posexplode(_line_hashes(F.col("text"))).alias("at", "line")).where("line is not null")
+    hits = at.join(_small(goes), "line").groupBy(F.col("id").alias("hit_id"), F.col("of_text").alias("hit_text")).agg(F.collect_set("at").alias("gone"))
+    joined = own.hint("shuffle_merge").join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("of_text") == F.col("hit_text")), "left")
     parts = F.split("text", "\n")
-    kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__gone", i)), "\n"))
-    counts = [F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed_lines")]
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone", i)), "\n"))
+    counts = [F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed_lines")]
     added = {"n_lines", "n_removed_lines"}
-    return joined.select(*[kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in added], *counts)
+    return joined.select(*[kept.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in added], *counts)

@@ -11,7 +11,9 @@ that of the last windows of each task.
 
 The tokenizer drops white space and never merges across it, so the ids of a text
 are those of its white-space separated chunks end to end.  Chunks are looked up
-in a bounded cache and encoded in batches; the result doesn't depend on it.
+in a bounded cache and encoded in batches; the result doesn't depend on it.  The
+strings of special tokens, where a text holds them, are cut out first and give
+those tokens' ids, as in a plain call of the tokenizer.
 
 Edge cases: null and empty texts are one piece, the end id.  Rows are
 independent: repeated rows and null doc_ids are packed as they come.  Other
@@ -58,6 +60,12 @@ class ChunkIds:
         self.tokenizer = Tokenizer.from_str(tokenizer_json.decode())
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        # special tokens are found in the raw text, before case is folded: ``encode`` sees to them
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = {t.content.encode(): i.to_bytes(4, "little") for i, t in added.items()}
+        self.simple = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()) and all(t.special for t in added.values())
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.find = re.compile(b"(" + b"|".join(map(re.escape, longest_first)) + b")") if added else None
         self.tokenizer.encode_special_tokens = True
         self.mark = self._ids(self.MARK)
         self.known: dict[bytes, bytes] = {}
@@ -77,6 +85,23 @@ class ChunkIds:
         return [np.array(self._ids(c), "<u4").tobytes() for c in chunks]
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
+        """Ids of each text, as of ``encode(text, add_special_tokens=False)``."""
+        if self.find is None or not any(map(self.find.search, raws)):
+            return self._plain(raws)
+        if not self.simple:
+            return [self._whole(raw) for raw in raws]
+        parts = [self.find.split(raw) for raw in raws]  # text, token, text, ...
+        ids = iter(self._plain([x for p in parts for x in p[::2]]))
+        return [b"".join(self.special[x] if i & 1 else next(ids) for i, x in enumerate(p)) for p in parts]
+
+    def _whole(self, raw: bytes) -> bytes:
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return np.array(self._ids(raw), "<u4").tobytes()
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
+    def _plain(self, raws: list[bytes]) -> list[bytes]:
         chunks = [self._STOP.sub(rb" \g<0>", raw.lower()).split() for raw in raws]
         known, older = self.known, self.older
         # the chunks of a few documents first: a small dict, which stays in the processor's cache
@@ -100,20 +125,14 @@ class ChunkIds:
         return out
 
 
-_encoders: dict[int, ChunkIds] = {}
-
-
 def _pieces(tokenizer, window: int, end_id: int, with_ids: bool):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
     types = [pa.int64()] * 5 + [pa.binary()]
     end = end_id.to_bytes(4, "little")
 
     def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(tokenizer.value)
-        encoder = _encoders.get(key)
-        if encoder is None:
-            _encoders.clear()
-            encoder = _encoders[key] = ChunkIds(tokenizer.value)
+        raw = tokenizer.value
+        encoder = tx.worker_slot(("packing", hash(raw)), lambda: ChunkIds(raw))
         for b in batches:
             doc_ids = b.column(0).to_pylist()
             for run in tx.runs(b.column(1), RUN_BYTES):

@@ -102,6 +102,7 @@ def _sample(length: int, k: int):
     """Rows (anchor, rank, doc, at), at = start << 9 | state << 7 | count."""
 
     def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.worker_slot("suffix", lambda: None)
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for run in tx.runs(b.column(1)):
@@ -331,13 +332,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH,
 
     spans: array<struct<start, end>> of the maximal removed byte runs; kept: the
     remaining bytes, or by ``output`` their "sha256" (texts are then not kept) or "text",
-    without characters of which a part has gone.  Columns named in ``carry`` come along.
+    without characters of which a part has gone.  Columns named in ``carry`` come along as in_<name>.
     """
     if not 80 <= length <= 120:
         raise ValueError("length must be from 80 to 120 bytes")
     k = ANCHOR
     scratch = Scratch(spark, "suffix")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`") for c in carry if c not in ("doc_id", "text")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []))
     keyed, names = _with_keys(docs, scratch)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -368,4 +369,4 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH,
     out = out.withColumn("spans", F.when(F.size("spans") > 0, pairs).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>")))
     if names is None:
         return out.select(F.col("doc").alias("doc_id"), "n_bytes", "spans", "kept")
-    return out.join(names, "doc").select("doc_id", "n_bytes", "spans", "kept", *(f"`{c}`" for c in carry if c not in ("doc_id", "text")))
+    return out.join(names, "doc").select("doc_id", "n_bytes", "spans", "kept", *(F.col("carried")[c].alias(f"in_{c}") for c in carry))

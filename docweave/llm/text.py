@@ -10,8 +10,12 @@ bytes, so splitting bytes and splitting characters give the same words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +77,21 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Po
     return mix(x + (end - start).astype(U64) * _BASE)
 
 
+#: Spans over so many bytes are hashed by a digest.  Powers modulo 2**64 lose bits on
+#: long self-similar spans (Thue-Morse words of 1,024 bytes all collide); at 32 bytes no more than 19 of 64.
+EXACT_OVER = 32
+
+
+def sure_hashes(data: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """As ``span_hashes``, with a keyed digest for long spans: for equality of words and lines of any length."""
+    out = span_hashes(sums, start, end)
+    for i in np.flatnonzero(end - start > EXACT_OVER).tolist():
+        raw = data[start[i] : end[i]]
+        digest = hashlib.blake2b((_FOLD[raw] if lower else raw).tobytes(), digest_size=8, key=b"span").digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
+
+
 @dataclass
 class Run:
     """Some whole documents: rows first..last-1 of a batch, their bytes end to end."""
@@ -129,7 +148,7 @@ def word_hashes(run: Run, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, and each document's range of words."""
     starts, ends, bounds = word_spans(run)
     sums = prefix_hashes(run.data, BYTE_LOWER if lower else BYTE)
-    return span_hashes(sums, starts, ends), bounds
+    return sure_hashes(run.data, sums, starts, ends, lower), bounds
 
 
 _ROLE = mix(np.arange(101, 133, dtype=U64) * _BASE) | U64(1)
@@ -171,3 +190,31 @@ def shingle_sets(run: Run, n: int = 5) -> Iterator[np.ndarray]:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+_slot: tuple[Any, Any] = (None, None)
+
+
+def worker_slot(key: Any, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept in this Python worker until another key asks.
+
+    Workers are reused by later stages and operators: with one slot, the cache of one never adds
+    to that of the next, and what is dropped goes back to the system.
+    """
+    global _slot
+    if _slot[0] != key:
+        if _slot[0] is not None:
+            _slot = (None, None)
+            release()
+        _slot = (key, make())
+    return _slot[1]
+
+
+def release() -> None:
+    """Gives freed memory back to the system, where it can be given back."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

@@ -34,6 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import text as tx
+
 DICTIONARY_BYTES = 4096
 LEVEL = 6
 GRAM = 6
@@ -149,18 +151,11 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(f @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-_distances: dict[int, Distances] = {}
-
-
 def _score(model):
     def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Classifier = model.value
         if m.weights is not None:
-            key = hash((m.toxic, m.ordinary, m.level))
-            if key not in _distances:
-                _distances.clear()
-                _distances[key] = Distances(m.toxic, m.ordinary, m.level)
-            distances = _distances[key]
+            distances = tx.worker_slot(("toxicity", hash((m.toxic, m.ordinary, m.level))), lambda: Distances(m.toxic, m.ordinary, m.level))
         for b in batches:
             for lo in range(0, b.num_rows, 128):
                 part = b.slice(lo, 128)

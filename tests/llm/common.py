@@ -42,4 +42,4 @@ def clashing(df):
     """Extra columns named like what operators add."""
     from pyspark.sql import functions as F
 
-    return df.withColumns({c: F.lit("clash") for c in ("node", "component_id", "token", "k", "doc", "at", "word", "line", "kind", "score", "key", "length", "ids", "start", "chunk", "copies", "payload_digest", "record_type", "sequence_id", "side")})
+    return df.withColumns({c: F.lit("clash") for c in ("node", "component_id", "token", "k", "doc", "at", "word", "line", "kind", "score", "key", "length", "ids", "start", "chunk", "copies", "payload_digest", "record_type", "sequence_id", "side", "__gone", "__id", "__text", "spans", "kept", "n_bytes", "row", "gone", "at", "id", "of_text", "hit_id", "carried", "loss", "level", "low", "in_text", "in_doc_id", "bytes", "site", "n_lines", "a.b", "anchor")})

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -12,10 +13,12 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
+from docweave.llm import text as tx
 from docweave.llm.bpe import Encoder, bpe_round_trip, latin_pattern
+from docweave.llm.jaccard import jaccard_components
 from docweave.llm.lines import line_dedup
 from docweave.llm.packing import BestFit, best_fit_decreasing, pack_documents
-from docweave.llm.quality import CLASSES, GRAMS, KneserNey, quality_rules
+from docweave.llm.quality import CLASSES, FREQUENT, GRAMS, REST, KneserNey, quality_rules
 from docweave.llm.scoring import Bits, Tables, _count_bits, mixing_scores
 from docweave.llm.suffix import substring_dedup
 from docweave.llm.toxicity import toxicity_scores
@@ -63,22 +66,151 @@ def test_quality_bands_reject_scrambled_words(spark):
         return " ".join("".join(r.sample(w, len(w))) if r.random() < share else w for w in prose(seed, 400).split())
 
     rows = [(i, prose(i, 400), "en", "s", 1) for i in range(200)] + [(500 + i, scrambled(500 + i, i / 40), "en", "s", 1) for i in range(16)]
-    kept = {r["doc_id"]: r["kept"] for r in quality_rules(spark, frame(spark, rows)).collect()}
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules(spark, frame(spark, rows), below=3.0, above=3.0).collect()}
     assert all(kept[i] for i in range(200)) and not any(kept[500 + i] for i in range(2, 16))
+    # the default bands, wider to keep clean documents of mixed content, take scrambling of an eighth of the words and more
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules(spark, frame(spark, rows)).collect()}
+    assert all(kept[i] for i in range(200)) and not any(kept[500 + i] for i in range(5, 16))
+
+
+def _fold(c):
+    if ord(c) >= 0x20000:  # rarer ideographs share classes
+        return chr(0x4E00 | ord(c) & 0x3FFF)
+    low = c.lower()
+    return " " if c in "\t\n\x0b\x0c\r" else low if len(low) == 1 else c
+
+
+def _letter(c):
+    return unicodedata.category(c)[0] in "LMN"
+
+
+def brute_perplexity(texts):
+    """Modified Kneser-Ney 4-grams over the alphabet of these texts, with dicts of tuples; log10 loss a letter."""
+    folded = [[_fold(c) for c in t or ""] for t in texts]
+    often = Counter(c for t in folded for c in t if c != " ")
+    top = {c: 1 + i for i, (c, _) in enumerate(sorted(often.items(), key=lambda x: (-x[1], ord(x[0])))[:FREQUENT])}
+    classes = {}
+    for c in often:
+        rest = int(tx.mix(np.array([ord(c)], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))[0] % np.uint64(REST))
+        classes[c] = top.get(c, 1 + FREQUENT + rest if _letter(c) else CLASSES - 1)
+    streams = [[0, 0, 0] + [classes.get(c, 0) for c in t] for t in folded]
+    counts = [None] * 5
+    counts[4] = Counter(tuple(s[i - 3 : i + 1]) for s in streams for i in range(3, len(s)))
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+
+    def discount(k):
+        n = [sum(v == j for v in counts[k].values()) for j in range(5)]
+        if not (n[1] and n[2] and n[3]):
+            return [0, 0.5, 0.75, 0.9]
+        y = n[1] / (n[1] + 2 * n[2])
+        return [0] + [min(max(j - (j + 1) * y * n[j + 1] / n[j], 0.05), j - 0.05) for j in (1, 2, 3)]
+
+    d = [None] + [discount(k) for k in (1, 2, 3, 4)]
+    total, freed = [Counter() for _ in range(5)], [Counter() for _ in range(5)]
+    for k in (1, 2, 3, 4):
+        for g, v in counts[k].items():
+            total[k][g[:-1]] += v
+            freed[k][g[:-1]] += min(d[k][min(v, 3)], v)
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / CLASSES
+        h = g[:-1]
+        if h not in total[k]:
+            return p(g[1:])
+        v = counts[k].get(g, 0)
+        return (v - min(d[k][min(v, 3)], v)) / total[k][h] + freed[k][h] / total[k][h] * p(g[1:])
+
+    known = {g: math.log10(p(g)) for g in counts[4]}
+    return [-sum(known[tuple(s[i - 3 : i + 1])] for i in range(3, len(s))) / max(1, sum(map(_letter, t))) if t else None for s, t in zip(streams, folded)]
+
+
+def brute_quality(rows, below=5.0, above=6.0, width=0.01):
+    """doc_id -> (kept, perplexity)."""
+    failed = {r[0]: base_counts(r[1])[-1] for r in rows}
+    out = {}
+    for lang in {r[2] for r in rows}:
+        own = [r for r in rows if r[2] == lang]
+        loss = dict(zip((r[0] for r in own), brute_perplexity([r[1] for r in own])))
+        level = sorted(math.log(x) for i, x in loss.items() if x and not failed[i])
+        q = [level[max(0, math.ceil(s * len(level)) - 1)] for s in (0.16, 0.5, 0.84)] if level else None
+        for i, x in loss.items():
+            inside = not (q and x) or q[1] - max(width, below * (q[1] - q[0])) - 1e-6 <= math.log(x) <= q[1] + max(width, above * (q[2] - q[1])) + 1e-6
+            out[i] = (not failed[i] and inside, x and 10**x)
+    return out
+
+
+SCRIPTS = {"el": 0x3B1, "ru": 0x430, "hy": 0x561, "ja": 0x4E00, "hi": 0x905, "xx": 0x10400}
+
+
+def _script_words(lang, seed, n, noise=False):
+    r, base, own = random.Random(seed), SCRIPTS[lang], random.Random(lang)
+    vocabulary = ["".join(chr(base + own.randrange(24)) for _ in range(own.randint(2, 7))) for _ in range(60)]
+    words = [r.choice(vocabulary) for _ in range(n)]
+    return " ".join("".join(r.sample(w, len(w))) if noise else w for w in words)
+
+
+def test_quality_equals_brute_force(spark):
+    rows = [(i, prose(i, 60 + i), "en", "s", 1) for i in range(40)] + [(100 + i, f"{prose(i, 70)} | {'#' * i} \u00c9t\u00c9 \u0130 \U0001f642", None, "s", 1) for i in range(9)]
+    rows += [(200 + 20 * k + i, _script_words(lang, 50 * k + i, 80, i == 9), lang, "s", 1) for k, lang in enumerate(SCRIPTS) for i in range(10)]
+    rows += [(900, "\U00024b62 " * 80, "ja", "s", 1), (901, "-- " * 70, "ru", "s", 1), (902, "", "ru", "s", 1), (903, None, "zz", "s", 1)]
+    want = brute_quality(rows)
+    for r in quality_rules(spark, frame(spark, rows)).collect():
+        kept, perplexity = want[r["doc_id"]]
+        assert r["kept"] == kept, r
+        assert (r["perplexity"] is None) if perplexity is None else r["perplexity"] == pytest.approx(perplexity, rel=1e-3), (r, perplexity)
+
+
+def test_quality_noise_in_other_scripts_goes(spark):
+    rows = [(1000 * k + i, _script_words(lang, i, 120, i >= 40), lang, "s", 1) for k, lang in enumerate(SCRIPTS) for i in range(43)]
+    for r in quality_rules(spark, frame(spark, rows)).collect():
+        assert r["kept"] == (r["doc_id"] % 1000 < 40), r
+
+
+def test_quality_two_hundred_languages(spark, monkeypatch):
+    """Every code has its own model, whatever is loaded or packed together."""
+    import docweave.llm.quality as quality
+
+    monkeypatch.setattr(quality, "PACK_BYTES", 200_000)
+    monkeypatch.setattr(quality, "LOADED_BYTES", 100_000)
+    rows = [(3 * k + i, prose(3 * k + i, 55) + f" {k}" * 3, f"l{k}", "s", 1) for k in range(200) for i in range(3)]
+    want = brute_quality(rows)
+    out = quality_rules(spark, frame(spark, rows)).collect()
+    assert len(out) == 600
+    for r in out:
+        assert (r["kept"], r["perplexity"]) == (want[r["doc_id"]][0], pytest.approx(want[r["doc_id"]][1], rel=1e-3))
 
 
 def test_kneser_ney_is_a_distribution():
     rng = np.random.default_rng(0)
-    grams, counts = np.unique(rng.integers(0, 4, 5000) * 32**3 + rng.integers(0, 5, 5000) * 32**2 + rng.integers(0, 6, 5000) * 32 + rng.integers(0, 7, 5000), return_counts=True)
+    n = CLASSES
+    grams, counts = np.unique(rng.integers(0, 4, 5000) * n**3 + rng.integers(0, 5, 5000) * n**2 + rng.integers(0, 6, 5000) * n + rng.integers(0, 7, 5000), return_counts=True)
     m = KneserNey(grams, counts)
-    for context in (int(grams[0]) // 32, 31 * 1024 + 7, 999):
-        p = 10.0 ** m.log10(np.arange(context * CLASSES, (context + 1) * CLASSES) % GRAMS)
+    for context in (int(grams[0]) // n, 31 * n * n + 7, 999):
+        p = 10.0 ** m.log10(np.arange(context * n, (context + 1) * n) % GRAMS)
         assert abs(p.sum() - 1) < 1e-3 and (p > 0).all()
 
 
+def _thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_self_similar_words_and_lines_differ(spark):
+    """Two long words that a polynomial hash modulo 2**64 takes for one."""
+    x = _thue_morse(2048)
+    y = x.translate({97: "b", 98: "a"})
+    docs = frame(spark, [(1, x, "en", "s", 1), (2, y, "en", "s", 1), (3, x.upper(), "en", "s", 1), (4, f"{x}\n{y}", "en", "s", 1), (5, " ".join([x, "p", "q", y, "p", "q"]), "en", "s", 1)])
+    counts = {r["doc_id"]: r for r in quality_rules(spark, docs).collect()}
+    assert counts[4]["n_dup_lines"] == 0 and counts[5]["n_repeat_words"] == 0
+    assert {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard_components(spark, docs).collect()} == {1: (1, 1), 2: (2, 0), 3: (1, 1), 4: (4, 0), 5: (5, 0)}
+
+
 @pytest.mark.parametrize("rows", ALL)
 def test_lines(spark, rows):
-    df = line_dedup(spark, frame(spark, rows).withColumnRenamed("n_chars", "n_lines"), min_sites=2)
+    df = line_dedup(spark, clashing(frame(spark, rows)), min_sites=2)
+    assert set(clashing(frame(spark, rows)).columns) < set(df.columns)
     sites: dict[str, set] = {}
     for r in rows:
         for line in (r[1].split("\n") if r[1] is not None else []):
@@ -144,18 +276,21 @@ def test_substrings_split_hot_anchors(spark, monkeypatch):
 
 def test_substrings_text_and_carry(spark):
     rows = [(1, "é" * 120, "en", "s", 1), (2, "xé" + "é" * 99 + "ü", "fr", "t", 2)]
-    out = {r["doc_id"]: r for r in substring_dedup(spark, frame(spark, rows), output="text", carry=("lang", "n_chars")).collect()}
+    docs = clashing(frame(spark, rows))
+    out = {r["doc_id"]: r for r in substring_dedup(spark, docs, output="text", carry=tuple(docs.columns)).collect()}
     # the first byte of ü is that of é, so it goes too, and the second with it
-    assert bytes(out[2]["kept"]).decode() == "x" and out[2]["lang"] == "fr"
+    assert bytes(out[2]["kept"]).decode() == "x" and out[2]["in_lang"] == "fr" and out[2]["in_kept"] == "clash"
 
 
-@pytest.mark.parametrize("rows", ALL)
+SPECIAL = [(1, "hello <|startoftext|> there", "en", "s", 1), (2, "a<|endoftext|>b<|ENDOFTEXT|>", "en", "s", 1), (3, "<|endoftext|>", "en", "s", 1), (4, "caf<|endoftext|>e\u0301 <|endoftext|><|startoftext|>", "fr", "s", 1)]
+
+
+@pytest.mark.parametrize("rows", [*ALL, SPECIAL])
 def test_packing(spark, rows):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     out = pack_documents(spark, clashing(frame(spark, rows)), path, window=512, with_ids=True).collect()
     want = Counter(tuple(t.encode(r[1] or "", add_special_tokens=False).ids + [2]) for r in rows)
     assert sum(r["length"] for r in out) == sum(len(k) * n for k, n in want.items())
@@ -169,7 +304,7 @@ def test_packing(spark, rows):
             assert offset == at
             at += n
         assert at <= 512
-    if rows is ALL[0]:
+    if rows is ALL[0] or rows is SPECIAL:
         for r in rows:
             own = sorted((p["start"], bytes(p["ids"])) for p in out if p["doc_id"] == r[0])
             assert b"".join(x for _, x in own) == np.array(t.encode(r[1] or "", add_special_tokens=False).ids + [2], "<u4").tobytes()

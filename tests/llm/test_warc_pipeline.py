@@ -70,7 +70,7 @@ def test_reassembly_errors():
 
 @pytest.mark.parametrize("rows", [edge_rows(), repeated_rows(), []])
 def test_pipeline_stages(spark, rows):
-    docs = frame(spark, rows)
+    docs = clashing(frame(spark, rows))
     for name, stage in corpus_pipeline.STAGES:
         out = Scratch(spark, "stage").stage(stage(spark, docs, ""), name)
         if name != "packing":

@@ -28,9 +28,10 @@ from docweave.llm.scratch import Scratch
 from docweave.llm.suffix import substring_dedup
 
 
-def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
-    """``out`` in the columns of ``docs``; n_chars counts again."""
-    return out.select(*(F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+def _like(docs: DataFrame, out: DataFrame, text: str, prefix: str = "") -> DataFrame:
+    """``out`` in the columns of ``docs``, with its column ``text`` as the text; n_chars counts again."""
+    own = {"text": F.col(text).cast("string"), "n_chars": F.char_length(F.col(text).cast("string"))}
+    return out.select(*(own.get(c, F.col(f"`{prefix}{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,21 +40,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _like(docs, line_dedup(spark, docs))
+    return _like(docs, line_dedup(spark, docs), "text")
 
 
 def neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard_components(spark, docs)
-    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    own = docs.hint("shuffle_merge").join(stays, docs["doc_id"].cast("long") == stays["__id"], "left_semi")
+    stays = found.where("doc_id = component_id").select("doc_id").distinct()
+    # the columns travel in one struct, so no name of theirs meets one used here
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    own = rows.hint("shuffle_merge").join(stays, "doc_id", "left_semi")
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        own = own.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
-    return own.unionByName(docs.where("doc_id is null"))
+        own = own.withColumn("of_text", F.xxhash64("row.text")).dropDuplicates(["doc_id", "of_text"]).drop("of_text")
+    return own.unionByName(rows.where("doc_id is null")).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = substring_dedup(spark, docs, output="text", carry=tuple(docs.columns))
-    return _like(docs, out.withColumn("text", F.col("kept").cast("string")))
+    # the text goes through the operator itself
+    out = substring_dedup(spark, docs, output="text", carry=tuple(c for c in docs.columns if c != "text"))
+    return _like(docs, out, "kept", "in_")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,3 +127,49 @@ def test_embeddings(spark):
 
 def test_embeddings_empty(spark):
     assert embedding_components(spark, spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def _cloud(rng, n, dim, cosine):
+    """Unit vectors around one direction, of mean cosine ``cosine`` to each other."""
+    centre = rng.standard_normal(dim)
+    centre /= np.linalg.norm(centre)
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.sqrt(cosine) * centre + np.sqrt(1 - cosine) * x
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _recall(spark, folder, x, labels, **options):
+    """Share of the exact links that were found, and whether no count is too high."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float64())), "label": pa.array(labels)}), f"{folder}/e.parquet", row_group_size=4000)
+    got = np.zeros(len(x), np.int64)
+    for r in embedding_components(spark, spark.read.parquet(f"{folder}/e.parquet"), **options).select("vec_id", "n_links").toLocalIterator():
+        got[r["vec_id"]] = r["n_links"]
+    want = np.zeros(len(x), np.int64)
+    labels = np.array(labels)
+    for label in np.unique(labels):
+        at = np.flatnonzero(labels == label)
+        for lo in range(0, len(at), 1000):
+            want[at[lo : lo + 1000]] = (x[at[lo : lo + 1000]] @ x[at].T >= 0.98).sum(1) - 1
+    assert (got <= want).all() and want.sum() > 0
+    return got.sum() / want.sum()
+
+
+@pytest.mark.parametrize("cosine", [0.0, 0.9, 0.96])
+def test_embeddings_recall_in_a_dense_cloud(spark, tmp_path, cosine):
+    rng = np.random.default_rng(7)
+    x = _cloud(rng, 20_000, 64, cosine)
+    near = x[:500] + 0.02 * rng.standard_normal((500, 64))
+    x = np.concatenate([x, near / np.linalg.norm(near, axis=1, keepdims=True)])
+    assert _recall(spark, tmp_path, x, [3] * len(x)) >= 0.99
+
+
+def test_embeddings_recall_in_several_clouds_and_a_clique(spark, tmp_path):
+    """One hot label of four close clouds and a large group of near copies, small labels beside it, and narrow windows to begin with."""
+    rng = np.random.default_rng(8)
+    parts = [_cloud(rng, 800, 32, 0.95) for _ in range(4)] + [_cloud(rng, 700, 32, 0.995)] + [_cloud(rng, 12, 32, 0.97) for _ in range(20)]
+    labels = [0] * 3900 + [1 + i // 12 for i in range(240)]
+    assert _recall(spark, tmp_path, np.concatenate(parts), labels, passes=4, window=8, sample=400) >= 0.99

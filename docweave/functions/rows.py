@@ -136,3 +136,32 @@ def document_id(df: DataFrame, keys: tuple[str, ...]) -> Column:
 def ordering(columns) -> list[Column]:
     """Ascending puts nulls last, descending first."""
     return [F.col(f"`{o.column}`").desc_nulls_first() if o.descending else F.col(f"`{o.column}`").asc_nulls_last() for o in columns]
+
+
+def _reversed(c: Column, kind: T.DataType) -> list[Column] | None:
+    """Columns that ascend as ``c`` descends, or None where there are none."""
+    if isinstance(kind, T.IntegralType):
+        return [F.bitwise_not(c)]
+    if isinstance(kind, T.DecimalType):
+        return [-c]
+    if isinstance(kind, T.FractionalType):
+        return [~F.isnan(c), -c]
+    if isinstance(kind, T.DateType):
+        return [F.bitwise_not(F.unix_date(c))]
+    if isinstance(kind, T.TimestampType):
+        return [F.bitwise_not(F.unix_micros(c))]
+    return [~c] if isinstance(kind, T.BooleanType) else None
+
+
+def sort_keys(df: DataFrame, order_by, ties: list[str]) -> list[Column] | None:
+    """The same order as that of ``ordering`` and then ``ties``, as columns to sort ascending by; None where that can't be."""
+    out: list[Column] = []
+    for column, descending in (*((o.column, o.descending) for o in order_by), *((c, False) for c in ties)):
+        c, kind = F.col(f"`{column}`"), df.schema[column].dataType
+        if isinstance(kind, (T.MapType, T.VariantType)):
+            return None
+        own = _reversed(c, kind) if descending else [c]
+        if own is None:
+            return None
+        out += [c.isNotNull() if descending else c.isNull(), *own]
+    return [c.alias(f"k{i}") for i, c in enumerate(out)]

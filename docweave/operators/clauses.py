@@ -41,6 +41,9 @@ class Scope:
             if isinstance(kind, T.MapType):
                 c, kind, meta = c[part], kind.valueType, {}
                 continue
+            if isinstance(kind, T.VariantType):  # a json field: what is inside is known document by document
+                c, meta = F.try_variant_get(c, f"$['{part}']", "variant"), {}
+                continue
             if not isinstance(kind, T.StructType) or part not in kind.names:
                 return None
             f = kind[part]
@@ -121,6 +124,15 @@ def any_value(found: tuple[Column, T.DataType, bool] | None, test: Callable[[Col
     return two_valued(F.exists(c, lambda x: two_valued(test(x, kind))) if several else test(c, kind))
 
 
+def opened(c: Column, kind: T.DataType, *values: Any) -> tuple[Column, T.DataType]:
+    """A value inside a json field, as the type of what it is compared with."""
+    if not isinstance(kind, T.VariantType):
+        return c, kind
+    v = next((x for x in values if x is not None), "")
+    kind = T.BooleanType() if isinstance(v, bool) else T.DoubleType() if isinstance(v, (int, float)) else T.StringType()
+    return F.try_variant_get(c, "$", kind.simpleString()), kind
+
+
 @dataclass(frozen=True)
 class Clause:
     boost: float = field(default=1.0, kw_only=True)
@@ -184,6 +196,18 @@ def required_count(spec: int | str, n: int) -> int:
     return max(0, n + k) if k < 0 else min(k, n)
 
 
+def paths_of(q: Any) -> set[str]:
+    """Every field path that a clause names."""
+    if isinstance(q, (tuple, list)):
+        return set().union(*map(paths_of, q))
+    if not isinstance(q, Clause):
+        return set()
+    own = {q.path} if isinstance(getattr(q, "path", None), str) else set()
+    if isinstance(getattr(q, "fields", None), tuple):
+        own |= {f.partition("^")[0] for f in q.fields if isinstance(f, str)}
+    return own.union(*(paths_of(v) for v in vars(q).values()))
+
+
 def total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns, F.lit(0.0))
 
@@ -256,6 +280,7 @@ class Term(Clause):
 
     def match(self, s: Scope) -> Column:
         def test(c: Column, kind: T.DataType) -> Column:
+            c, kind = opened(c, kind, self.value)
             if self.case_insensitive:
                 return F.lower(c) == F.lower(F.lit(str(self.value)))
             return c == literal(self.value, kind)
@@ -278,7 +303,11 @@ class Terms(Clause):
     def match(self, s: Scope) -> Column:
         if not self.values:
             return F.lit(False)
-        return any_value(s.values(self.path), lambda c, kind: c.isin(*(literal(v, kind) for v in self.values)))
+        def test(c: Column, kind: T.DataType) -> Column:
+            c, kind = opened(c, kind, *self.values)
+            return c.isin(*(literal(v, kind) for v in self.values))
+
+        return any_value(s.values(self.path), test)
 
 
 @dataclass(frozen=True)
@@ -291,8 +320,8 @@ class Pattern(Clause):
     case_insensitive: bool = False
 
     def match(self, s: Scope) -> Column:
-        def test(c: Column, _: T.DataType) -> Column:
-            c = c.cast("string")
+        def test(c: Column, kind: T.DataType) -> Column:
+            c = opened(c, kind)[0].cast("string")
             if self.kind == "prefix":
                 return F.lower(c).startswith(self.value.lower()) if self.case_insensitive else c.startswith(self.value)
             pattern = an.wildcard_pattern(self.value) if self.kind == "wildcard" else an.lucene_pattern(self.value)
@@ -323,6 +352,11 @@ class Range(Clause):
     gte: Any = None
     format: str | None = None
     time_zone: str | None = None
+    relation: str | None = None  # of ranges that documents hold; a single value is in the range or not, whichever is asked
+
+    def __post_init__(self) -> None:
+        if self.relation is not None and self.relation.lower() not in ("intersects", "contains", "within"):
+            raise QueryError(f"unknown relation `{self.relation}`")
 
     def match(self, s: Scope) -> Column:
         def bound(v: Any, kind: T.DataType) -> Column:
@@ -332,6 +366,7 @@ class Range(Clause):
             return literal(v, kind)
 
         def test(c: Column, kind: T.DataType) -> Column:
+            c, kind = opened(c, kind, self.lt, self.lte, self.gt, self.gte)
             out = F.lit(True)
             if self.lt is not None:
                 out = out & (c < bound(self.lt, kind))

@@ -169,7 +169,7 @@ _READERS = {
     "wildcard": _leaf(lambda p, o: q.Pattern(p, "wildcard", o.get("value", o.get("wildcard")), o.get("case_insensitive", False)), "value"),
     "regexp": _leaf(lambda p, o: q.Pattern(p, "regexp", o["value"], o.get("case_insensitive", False)), "value"),
     "fuzzy": _leaf(lambda p, o: q.Fuzzy(p, str(o["value"]), o.get("fuzziness", "AUTO"), o.get("prefix_length", 0), o.get("transpositions", True)), "value"),
-    "range": _leaf(lambda p, o: q.Range(p, **{k: o[k] for k in ("lt", "lte", "gt", "gte", "format", "time_zone") if k in o}), "gte"),
+    "range": _leaf(lambda p, o: q.Range(p, **{k: o[k] for k in ("lt", "lte", "gt", "gte", "format", "time_zone", "relation") if k in o}), "gte"),
     "match": _match("match"),
     "match_phrase": _match("match_phrase"),
     "match_phrase_prefix": _match("match_phrase_prefix"),

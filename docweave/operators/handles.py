@@ -25,6 +25,16 @@ def plain(v: Any) -> Any:
     return v
 
 
+class TypedMap(dict):
+    """A map value whose values all have one plain type."""
+
+    def __init__(self, values: dict[str, Any]) -> None:
+        super().__init__((str(k), plain(v)) for k, v in values.items())
+        kinds = {type(v) for v in self.values() if v is not None}
+        if len(kinds) > 1:
+            raise TypeError(f"one map holds {' and '.join(sorted(k.__name__ for k in kinds))}")
+
+
 class Handle:
     def __init__(self, path: str, kind: T.DataType, meta: dict | None = None) -> None:
         self.path, self.kind, self.meta = path, kind, meta or {}
@@ -179,12 +189,32 @@ class Group(Handle):
         return handle(f"{self._path}.{name}" if self._path else name, f.dataType, f.metadata)
 
 
+class JsonField(Handle):
+    """What a json field holds is not declared: only a raw clause looks inside."""
+
+    def raw(self, clause: q.Clause | dict) -> q.Clause:
+        """A clause, or its JSON body, whose paths start at the field."""
+        if isinstance(clause, dict):
+            from .dsl import parse
+
+            clause = parse(clause)
+        return _inside(self.path, clause)
+
+
+def _inside(path: str, query: q.Clause | None) -> q.Clause | None:
+    """``query``, if every field it names lies inside ``path``."""
+    for p in sorted(q.paths_of(query)):
+        if not p.startswith(f"{path}."):
+            raise q.QueryError(f"`{p}` is not inside `{path}`")
+    return query
+
+
 class NestedField(Group):
     def any(self, query: q.Clause, **o: Any) -> q.Clause:
-        return q.Nested(self._path, query, **o)
+        return q.Nested(self._path, _inside(self._path, query), **o)
 
     def all(self, query: q.Clause) -> q.Clause:
-        return q.Nested(self._path, query, how="all")
+        return q.Nested(self._path, _inside(self._path, query), how="all")
 
     def exists(self) -> q.Clause:
         return q.Nested(self._path, how="exists")
@@ -193,7 +223,7 @@ class NestedField(Group):
         """Projection: only these elements come back, without changing which documents match."""
         from .search import NestedProjection
 
-        return NestedProjection(self._path, query, tuple(sort), start, size)
+        return NestedProjection(self._path, _inside(self._path, query), tuple(sort), start, size)
 
 
 def handle(path: str, kind: T.DataType, meta: dict | None = None) -> Handle:
@@ -204,7 +234,9 @@ def handle(path: str, kind: T.DataType, meta: dict | None = None) -> Handle:
         return GeoPoint(path, kind, meta) if meta.get("type") == "geo" or set(kind.names) == {"lat", "lon"} else Group(path, kind, meta)
     if isinstance(kind, T.MapType):
         return MapField(path, kind, meta)
-    if isinstance(kind, (T.BinaryType, T.VariantType)):
+    if isinstance(kind, T.VariantType):
+        return JsonField(path, kind, meta)
+    if isinstance(kind, T.BinaryType):
         return Handle(path, kind, meta)
     if isinstance(kind, T.StringType):
         return Text(path, kind, meta) if meta.get("type") in ("text", "identifier", "map") else Keyword(path, kind, meta)

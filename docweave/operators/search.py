@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import threading
+import uuid
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -26,8 +28,7 @@ class NestedProjection:
         found = s.look(self.path)
         if found is None or not isinstance(found[1], T.ArrayType):
             raise QueryError(f"`{self.path}` is not nested")
-        if "." in self.path:
-            raise QueryError("only a nested field of the document itself can be projected")
+        top, _, rest = self.path.partition(".")
         c, kind = found[0], found[1].elementType
         if self.query is not None:
             c = F.filter(c, lambda e: self.query.match(Scope(kind, e, self.path)))
@@ -42,7 +43,13 @@ class NestedProjection:
                 return out
 
             c = F.array_sort(c, compare)
-        return df.withColumn(self.path, F.slice(c, self.start + 1, self.size))
+        c = F.slice(c, self.start + 1, self.size)
+        if not rest:
+            return df.withColumn(top, c)
+        holder = s.look(self.path.rpartition(".")[0])
+        if holder is None or not isinstance(holder[1], T.StructType):
+            raise QueryError(f"`{self.path}` lies in another nested field: project that")
+        return df.withColumn(top, F.when(F.col(f"`{top}`").isNotNull(), F.col(f"`{top}`").withField(rest, c)))
 
 
 @dataclass
@@ -115,6 +122,7 @@ class Search:
     highlights: dict[str, Any] | None = field(default=None, hash=False)
     source: tuple[str, ...] | None = None
     scored: bool = True
+    every: bool = False
 
     def _bool(self, how: str, q: Clause | None) -> Search:
         return self if q is None else replace(self, bool_=replace(self.bool_, **{how: (*getattr(self.bool_, how), q)}))
@@ -145,6 +153,10 @@ class Search:
     def page(self, start: int = 0, size: int | None = None) -> Search:
         return replace(self, start=start, limit=size)
 
+    def unpaged(self) -> Search:
+        """Every match, in no order: for exports, not for pages."""
+        return replace(self, every=True)
+
     def search_after(self, *values: Any) -> Search:
         return replace(self, search_after_values=values)
 
@@ -200,14 +212,17 @@ class Search:
             c = scope.values(self.collapse_field)
             if c is None:
                 raise QueryError(f"`{self.collapse_field}` is not mapped")
+            # documents without a value stay, each for itself, and need no window
             w = Window.partitionBy(c[0]).orderBy(*(k.column(scope) for k in order))
-            df = df.withColumn("__n", F.row_number().over(w)).where((F.col("__n") == 1) | c[0].isNull()).drop("__n")
+            first = df.where(c[0].isNotNull()).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+            df = first.unionByName(df.where(c[0].isNull()))
         if self.search_after_values is not None:
             df = df.where(after_tuple(order[: len(self.search_after_values)], list(self.search_after_values), scope))
-        df = df.orderBy(*(k.column(scope) for k in order))
-        if self.start:
-            df = df.offset(self.start)
-        df = df.limit(10 if self.limit is None else self.limit)
+        if not self.every:
+            df = df.orderBy(*(k.column(scope) for k in order))
+            if self.start:
+                df = df.offset(self.start)
+            df = df.limit(10 if self.limit is None else self.limit)
         for p in self.projections:
             df = p.apply(df, scope)
         if self.highlights:
@@ -242,15 +257,37 @@ class Search:
         """Matches of the query alone: paging, sorting, min_score and post_filter don't count."""
         return self.index.frame.where(self.clause().match(Scope(self.index.type))).count()
 
-    def send(self, track_total: bool | int = True) -> dict[str, Any]:
-        total = None
-        if track_total is True:
-            total = self.matched().count()
-        elif track_total:
-            total = self.matched().limit(int(track_total)).count()
-        hits = [r.asDict(recursive=True) for r in self.hits().collect()]  # one page
-        scores = [h["_score"] for h in hits if h["_score"] is not None]
-        return {"total": total, "max_score": max(scores, default=None), "timed_out": False, "hits": [{"id": h.pop("_id"), "score": h.pop("_score"), "source": h} for h in hits]}
+    def send(self, track_total: bool | int = True, timeout: float | None = None) -> dict[str, Any]:
+        """One page with its totals.  Over ``timeout`` seconds the search is given up: ``timed_out``, with what there is by then."""
+        out: dict[str, Any] = {"total": None, "max_score": None, "timed_out": False, "hits": []}
+        sc = self.index.frame.sparkSession.sparkContext
+        group, fired = f"search-{uuid.uuid4().hex}", threading.Event()
+
+        def give_up() -> None:
+            fired.set()
+            sc.cancelJobGroup(group)
+
+        timer = None
+        if timeout is not None:
+            sc.setJobGroup(group, "search", True)
+            timer = threading.Timer(timeout, give_up)
+            timer.start()
+        try:
+            hits = [r.asDict(recursive=True) for r in self.hits().collect()]  # one page
+            scores = [h["_score"] for h in hits if h["_score"] is not None]
+            out |= {"max_score": max(scores, default=None), "hits": [{"id": h.pop("_id"), "score": h.pop("_score"), "source": h} for h in hits]}
+            if track_total is True:
+                out["total"] = self.matched().count()
+            elif track_total:
+                out["total"] = self.matched().limit(int(track_total)).count()
+        except Exception:
+            if not fired.is_set():
+                raise
+        finally:
+            if timer is not None:
+                timer.cancel()
+                sc.setLocalProperty("spark.jobGroup.id", None)
+        return out | {"timed_out": fired.is_set()}
 
 
 def _loose(term: str) -> str:
@@ -284,16 +321,23 @@ class MultiSearch:
     start: int = 0
     limit: int | None = None
 
+    every: bool = False
+
+    def unpaged(self) -> MultiSearch:
+        return replace(self, every=True)
+
     def matched(self) -> DataFrame:
+        """All matches: _index, _id, _score, the sort values and each index's document as a struct of its own."""
         out = None
-        for s in self.searches:
+        for n, s in enumerate(self.searches):
             df = s.matched()
             scope = Scope(s.index.type)
             for i, k in enumerate(self.sorts):
                 if k.path not in ("_score", "_id"):
                     df = df.withColumn(f"__s{i}", k.value(scope))
-            df = df.select(F.lit(s.index.name).alias("_index"), "_id", "_score", *(c for c in df.columns if c.startswith("__s")), F.to_json(F.struct(*(f"`{f.name}`" for f in s.index.type if not isinstance(f.dataType, T.VariantType))), {"ignoreNullFields": "false"}).alias("source"))
-            out = df if out is None else out.unionByName(df)
+            doc = F.struct(*(f"`{f.name}`" for f in s.index.type if not isinstance(f.dataType, T.VariantType)))
+            df = df.select(F.lit(s.index.name).alias("_index"), "_id", "_score", *(c for c in df.columns if c.startswith("__s")), doc.alias(f"__d{n}"))
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
         if out is None:
             raise QueryError("no index to search")
         return out
@@ -304,8 +348,11 @@ class MultiSearch:
             c = F.col(k.path if k.path in ("_score", "_id") else f"__s{i}")
             first = k.missing == "_first"
             order.append((c.desc_nulls_first() if first else c.desc_nulls_last()) if k.descending else (c.asc_nulls_first() if first else c.asc_nulls_last()))
-        df = df.orderBy(*order, "_index", "_id").offset(self.start).limit(10 if self.limit is None else self.limit)
-        return df.drop(*(c for c in df.columns if c.startswith("__s")))
+        if not self.every:
+            df = df.orderBy(*order, "_index", "_id").offset(self.start).limit(10 if self.limit is None else self.limit)
+        # only the page is written as JSON
+        source = F.coalesce(*(F.to_json(f"__d{n}", {"ignoreNullFields": "false"}) for n in range(len(self.searches))))
+        return df.select("_index", "_id", "_score", source.alias("source"))
 
     def count(self) -> int:
         return sum(s.count() for s in self.searches)

@@ -5,13 +5,15 @@ in, grouped by the key that links it, joined to the parents on that key.  All
 relations of a node but ``belongs_to`` link by the node's own key, so they are joined one
 after the other on one partitioning.  Aggregates over the same table and link
 share one ``groupBy``.  With ``only``, every level is first cut to the keys that
-the level above asks for, so a small batch does not aggregate whole tables.
+the level above asks for, so a small batch does not aggregate whole tables; up to
+``LITERAL_KEYS`` keys are literals, which the scans of the root and its relations push down.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -21,6 +23,10 @@ from ..schema.model import Field, Schema, SchemaError
 from ..sources.registry import Registry
 
 
+#: Fixed value: keys in one literal list at most.
+LITERAL_KEYS = 512
+
+
 class _Names:
     def __init__(self) -> None:
         self.n = 0
@@ -39,6 +45,12 @@ def _flat(fields: tuple[Field, ...]):
             yield f
 
 
+def _all(fields: tuple[Field, ...]):
+    for f in fields:
+        yield f
+        yield from _all(f.fields)
+
+
 def _columns_of(f: Field) -> list[str]:
     return [c for c in (f.column, f.lat, f.lon) if c] if f.kind in ("scalar", "map", "geo") else []
 
@@ -61,15 +73,15 @@ class Assembler:
                 out.add(f.column)
         return out
 
-    def node(self, df: DataFrame, key: str | None, fields: tuple[Field, ...], cut: bool) -> tuple[DataFrame, list[Column]]:
-        """``df`` with all relations joined, and the node's values in order."""
+    def node(self, df: DataFrame, key: str | None, fields: tuple[Field, ...], cut: bool, known: list | None = None) -> tuple[DataFrame, list[Column]]:
+        """``df`` with all relations joined, and the node's values in order.  ``known``: the node's keys, where they are few."""
         own = [f for f in _flat(fields) if f.kind in ("join", "aggregate")]
         if key is None and any(f.type != "belongs_to" for f in own):
             raise SchemaError(own[0].name, "a relation needs a parent key of one column")
         made: dict[int, Column] = {}
         for f in (f for f in own if f.type == "belongs_to"):
             df, made[id(f)] = self._belongs_to(df, f, cut)
-        parents = df.select(F.col(f"`{key}`").alias("__k")).distinct() if cut and own else None
+        parents = known if known is not None else df.select(F.col(f"`{key}`").alias("__k")).distinct() if cut and own else None
         groups: dict[tuple, list[Field]] = defaultdict(list)
         for f in own:
             if f.kind == "aggregate":
@@ -93,7 +105,9 @@ class Assembler:
 
         return df, values_of(fields)
 
-    def _cut(self, df: DataFrame, column: str, parents: DataFrame | None) -> DataFrame:
+    def _cut(self, df: DataFrame, column: str, parents: DataFrame | list | None) -> DataFrame:
+        if isinstance(parents, list):
+            return df.where(F.col(f"`{column}`").isin(*(F.lit(k).cast(df.schema[column].dataType) for k in parents)) if parents else F.lit(False))
         return df if parents is None else df.join(parents, F.col(f"`{column}`") == F.col("__k"), "left_semi")
 
     def _belongs_to(self, df: DataFrame, f: Field, cut: bool) -> tuple[DataFrame, Column]:
@@ -108,7 +122,7 @@ class Assembler:
         child = child.select(F.col(f"`{f.primary_key}`").alias(link), F.struct(*values).alias(out))
         return df.join(child, F.col(f"`{f.column}`") == F.col(link), "left").drop(link), F.col(out)
 
-    def _linked(self, f: Field, needed: set[str], parents: DataFrame | None) -> DataFrame:
+    def _linked(self, f: Field, needed: set[str], parents: DataFrame | list | None) -> DataFrame:
         """Related rows with the parent's key as __k."""
         if f.through is None:
             child = self._cut(self._read(f.table, f.filters, needed | {f.foreign_key}), f.foreign_key, parents)
@@ -125,25 +139,32 @@ class Assembler:
             raise SchemaError(f.name, f"`{f.table}` needs a key of one column")
         return key[0]
 
-    def _children(self, f: Field, parents: DataFrame | None, cut: bool) -> DataFrame:
+    def _children(self, f: Field, parents: DataFrame | list | None, cut: bool) -> DataFrame:
         needed = self._needs(f.fields) | {f.primary_key} | {o.column for o in f.order_by}
         child = self._linked(f, needed, parents)
         order = rows.ordering(f.order_by)
         ties = [c for c in dict.fromkeys([f.primary_key, *(c for x in _flat(f.fields) for c in _columns_of(x))]) if not isinstance(child.schema[c].dataType, (T.MapType, T.VariantType))]
-        w = Window.partitionBy("__k").orderBy(*order, *(F.col(f"`{c}`").asc_nulls_last() for c in ties))
-        child = child.withColumn("__n", F.row_number().over(w))
         most = 1 if f.type == "has_one" else f.limit
+        sortable = rows.sort_keys(child, f.order_by, ties) if most is None and not any(x.kind == "map" or x.type == "json" for x in _all(f.fields)) else None
+        if sortable:  # sorted as they are collected
+            child = child.withColumn("__n", F.struct(*sortable))
+        else:
+            w = Window.partitionBy("__k").orderBy(*order, *(F.col(f"`{c}`").asc_nulls_last() for c in ties))
+            child = child.withColumn("__n", F.row_number().over(w))
         if most is not None:  # top rows of each parent, before anything is joined to them
             child = child.where(F.col("__n") <= most)
         child, values = self.node(child, f.primary_key, f.fields, cut)
         child = child.select("__k", "__n", F.struct(*values).alias("__value"))
         if f.type == "has_one":
             return child.drop("__n")
-        grouped = child.groupBy("__k").agg(F.collect_list(F.struct("__n", "__value")).alias("__all"))
-        in_order = F.array_sort("__all", lambda a, b: F.when(a["__n"] < b["__n"], -1).when(a["__n"] > b["__n"], 1).otherwise(0))
-        return grouped.select("__k", F.transform(in_order, lambda x: x["__value"]).alias("__value"))
+        every = F.collect_list(F.struct("__n", "__value"))
+        if sortable:
+            grouped = child.groupBy("__k").agg(F.sort_array(every).alias("__all"))
+        else:
+            grouped = child.groupBy("__k").agg(every.alias("__all")).withColumn("__all", F.array_sort("__all", lambda a, b: F.when(a["__n"] < b["__n"], -1).when(a["__n"] > b["__n"], 1).otherwise(0)))
+        return grouped.select("__k", F.transform("__all", lambda x: x["__value"]).alias("__value"))
 
-    def _aggregates(self, fused: list[Field], parents: DataFrame | None) -> tuple[DataFrame, dict[int, Column]]:
+    def _aggregates(self, fused: list[Field], parents: DataFrame | list | None) -> tuple[DataFrame, dict[int, Column]]:
         first = fused[0]
         if first.through and all(f.type == "ids" for f in fused):
             # ids through a junction never read the far table
@@ -202,33 +223,50 @@ def root_rows(schema: Schema, registry: Registry) -> DataFrame:
     return rows.live(rows.where(df, schema.filters), schema.soft_delete, schema.soft_delete_column)
 
 
-def assemble(schema: Schema, registry: Registry, only: DataFrame | None = None) -> DataFrame:
+def assemble(schema: Schema, registry: Registry, only: DataFrame | list[tuple] | None = None) -> DataFrame:
     """All documents: ``_id`` and a column for each field.
 
-    ``only``: a DataFrame with the root's key columns; just those documents are built.
+    ``only``: the root's keys to build, in a DataFrame with the key columns, or a few as a list.
     """
     df = root_rows(schema, registry)
     build = Assembler(registry)
     needed = build._needs(schema.fields) | set(schema.primary_key)
     if missing := needed - set(df.columns):
         raise SchemaError(schema.table, f"no column `{sorted(missing)[0]}`")
+    known = None
+    if isinstance(only, list):  # before columns are chosen, so that it reaches the scan with the filters
+        if len(only) > LITERAL_KEYS:
+            raise ValueError(f"{len(only)} keys: more than {LITERAL_KEYS} go in a DataFrame")
+        only = [k if isinstance(k, tuple) else (k,) for k in only]
+        if len(schema.primary_key) == 1:
+            known = [k for k, in only]
+            df = build._cut(df, schema.primary_key[0], known)
+        else:
+            each = (reduce(lambda a, b: a & b, (F.col(f"`{c}`") == F.lit(v).cast(df.schema[c].dataType) for c, v in zip(schema.primary_key, key, strict=True))) for key in only)
+            df = df.where(reduce(lambda a, b: a | b, each, F.lit(False)))
     df = df.select(*(f"`{c}`" for c in df.columns if c in needed))
     df = df.where(reduce(lambda a, b: a & b, (F.col(f"`{k}`").isNotNull() for k in schema.primary_key)))
-    if only is not None:
+    if isinstance(only, DataFrame):
         keys = only.select(*(F.col(f"`{k}`").cast(df.schema[k].dataType).alias(f"__only_{k}") for k in schema.primary_key))
         df = df.join(keys, reduce(lambda a, b: a & b, (F.col(f"`{k}`") == F.col(f"__only_{k}") for k in schema.primary_key)), "left_semi")
     key = schema.primary_key[0] if len(schema.primary_key) == 1 else None
     identity = rows.document_id(df, schema.primary_key)
-    df, values = build.node(df, key, schema.fields, only is not None)
+    df, values = build.node(df, key, schema.fields, only is not None, known)
     return df.select(identity.alias("_id"), *values)
 
 
+def build_one(schema: Schema, registry: Registry, *key: Any) -> DataFrame:
+    """The document of one key, or no row."""
+    return assemble(schema, registry, [key])
+
+
 def build_many(schema: Schema, registry: Registry, keys: DataFrame) -> DataFrame:
     """(_id, op, doc): an upsert for each key that is a document, a delete for each that is not."""
     keys = keys.select(*(f"`{k}`" for k in schema.primary_key)).distinct()
     types = registry.frame(schema.table).schema
     typed = keys.select(*(F.col(f"`{k}`").cast(types[k].dataType).alias(k) for k in schema.primary_key))
-    docs = assemble(schema, registry, keys)
+    few = typed.limit(LITERAL_KEYS + 1).collect() if len(schema.primary_key) == 1 else None
+    docs = assemble(schema, registry, keys if few is None or len(few) > LITERAL_KEYS else [tuple(r) for r in few])
     docs = docs.select("_id", F.struct(*(f"`{f.name}`" for f in schema.fields)).alias("doc"))
     asked = typed.select(rows.document_id(typed, schema.primary_key).alias("_id"))
     return asked.join(docs, "_id", "left").select("_id", F.when(F.col("doc").isNull(), "delete").otherwise("upsert").alias("op"), "doc")
@@ -236,5 +274,11 @@ def build_many(schema: Schema, registry: Registry, keys: DataFrame) -> DataFrame
 
 def sample_document(schema: Schema, registry: Registry) -> DataFrame:
     """The first document by key."""
-    keys = root_rows(schema, registry).select(*schema.primary_key).dropna().orderBy(*schema.primary_key).limit(1)
-    return assemble(schema, registry, keys)
+    first = root_rows(schema, registry).select(*schema.primary_key).dropna().orderBy(*schema.primary_key).head(1)
+    return assemble(schema, registry, [tuple(r) for r in first])
+
+
+def preview(schema: Schema, registry: Registry, key: Any = None) -> DataFrame:
+    """(_id, document): one real document as JSON, that of ``key`` or the first."""
+    docs = sample_document(schema, registry) if key is None else build_one(schema, registry, *(key if isinstance(key, tuple) else (key,)))
+    return docs.select("_id", F.to_json(F.struct(*(f"`{f.name}`" for f in schema.fields)), {"ignoreNullFields": "false"}).alias("document"))

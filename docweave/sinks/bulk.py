@@ -133,16 +133,19 @@ class BulkSink(Sink):
             self._create(schema, 0)
             self._keep(schema, {"active": 0, "writing": 0, "seeded": False})
 
-    def write(self, schema: Schema, batch: DataFrame, number: int) -> None:
+    def write(self, schema: Schema, batch: DataFrame, number: int, caught_up: bool = True) -> None:
         index = self._physical(schema, self.state(schema)["writing"])
         rows = batch.select("_id", "op", F.to_json("doc", {"ignoreNullFields": "false"}).alias("doc"))
         out = rows.mapInArrow(_send(self.client, index, self.batch_size, self.max_bytes), "_id string, status int, reason string").persist()
         n = out.count()  # sends
+        if self.rejected is not None:
+            self.rejected.unpersist()
         self.rejected = out
         if n and self.on_reject == "stop":
             first = out.head(1)[0]
             raise RuntimeError(f"{schema.index}: {n} documents rejected, {first['_id']} for {first['reason']}")
-        self.client.call("POST", f"{index}/_refresh")
+        if caught_up:  # else the cluster's own interval makes it visible
+            self.client.call("POST", f"{index}/_refresh")
 
     def is_seeded(self, schema: Schema) -> bool:
         s = self.state(schema)
@@ -159,7 +162,14 @@ class BulkSink(Sink):
             self.client.call("DELETE", old)
         self._keep(schema, {"active": s["writing"], "writing": s["writing"], "seeded": True})
 
+    def _generations(self, schema: Schema) -> list[int]:
+        status, answer = self.client.call("GET", f"{self.alias(schema)}_*")
+        stem = len(self.alias(schema)) + 1
+        return [int(name[stem:]) for name in answer if name[stem:].isdigit()] if status == 200 else []
+
     def reindex(self, schema: Schema) -> None:
+        """Stages a generation past every one there is, also those of a run that broke off."""
         s = self.state(schema)
-        self._create(schema, s["writing"] + 1)
-        self._keep(schema, s | {"writing": s["writing"] + 1})
+        following = max([s["writing"], s["active"], *self._generations(schema)]) + 1
+        self._create(schema, following)
+        self._keep(schema, s | {"writing": following})

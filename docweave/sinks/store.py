@@ -3,8 +3,10 @@
 ``ParquetSink`` keeps each index under ``<prefix><index>_<hash>/gen=<n>/``.  A batch is a
 folder of its own, named by its number and overwritten when it comes again, so
 delivery at least once leaves one copy.  Readers take each document's latest batch;
-``compact`` folds the batches into one.  ``current.json`` says which generation
-is read; it is replaced by one rename.
+``compact`` folds the batches into one, by itself once there are ``compact_after``.  ``current.json`` says which generation
+is read.  It is a folder of numbered states, the greatest of which counts: a new one
+appears by one rename to a name that is not there yet, so at no moment, and
+after no crash, is there none.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..schema.mapping import content_hash, document_type, index_body, nullable
 from ..schema.model import Schema
@@ -28,7 +30,8 @@ class Sink(ABC):
     def ensure(self, schema: Schema) -> None: ...
 
     @abstractmethod
-    def write(self, schema: Schema, batch: DataFrame, number: int) -> None: ...
+    def write(self, schema: Schema, batch: DataFrame, number: int, caught_up: bool = True) -> None:
+        """``caught_up``: nothing more is waiting, so what was written may be made visible at once."""
 
     def is_seeded(self, schema: Schema) -> bool:
         return False
@@ -57,29 +60,38 @@ class Files:
     def delete(self, p: str) -> None:
         self.fs.delete(self._path(p), True)
 
+    def _states(self, p: str) -> list[str]:
+        names = [x.getPath().getName() for x in self.fs.listStatus(self._path(p))] if self.exists(p) else []
+        return sorted(n for n in names if n.endswith(".json"))
+
     def read(self, p: str) -> dict[str, Any]:
-        if not self.exists(p):
+        states = self._states(p)
+        if not states:
             return {}
-        stream = self.fs.open(self._path(p))
+        stream = self.fs.open(self._path(f"{p}/{states[-1]}"))
         try:
             return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
     def replace(self, p: str, value: dict[str, Any]) -> None:
-        new = self._path(p + ".new")
+        states = self._states(p)
+        number = int(states[-1][:-5]) + 1 if states else 0
+        new, name = self._path(f"{p}/{number:012d}.new"), self._path(f"{p}/{number:012d}.json")
         stream = self.fs.create(new, True)
         stream.write(bytearray(json.dumps(value).encode()))
         stream.close()
-        self.fs.delete(self._path(p), False)
-        self.fs.rename(new, self._path(p))
+        if not self.fs.rename(new, name):
+            raise RuntimeError(f"{p}: state {number} was written by another")
+        for old in states[:-1]:  # the one before stays for readers that have just listed it
+            self.fs.delete(self._path(f"{p}/{old}"), False)
 
 
 class ParquetSink(Sink):
     name = "parquet"
 
-    def __init__(self, spark: SparkSession, root: str, prefix: str = "", records_per_file: int = 1_000_000) -> None:
-        self.spark, self.root, self.prefix, self.records = spark, root.rstrip("/"), prefix, records_per_file
+    def __init__(self, spark: SparkSession, root: str, prefix: str = "", records_per_file: int = 1_000_000, compact_after: int = 64) -> None:
+        self.spark, self.root, self.prefix, self.records, self.compact_after = spark, root.rstrip("/"), prefix, records_per_file, compact_after
         self.files = Files(spark, self.root)
 
     def home(self, schema: Schema) -> str:
@@ -99,8 +111,10 @@ class ParquetSink(Sink):
     def _writing(self, schema: Schema) -> str:
         return f"{self.home(schema)}/gen={self.state(schema)['writing']}"
 
-    def write(self, schema: Schema, batch: DataFrame, number: int) -> None:
+    def write(self, schema: Schema, batch: DataFrame, number: int, caught_up: bool = True) -> None:
         batch.write.mode("overwrite").option("maxRecordsPerFile", self.records).parquet(f"{self._writing(schema)}/batch={number}")
+        if caught_up and self.is_seeded(schema) and len(self.files.folders(self._writing(schema))) > self.compact_after:
+            self.compact(schema)
 
     def is_seeded(self, schema: Schema) -> bool:
         s = self.state(schema)
@@ -123,8 +137,10 @@ class ParquetSink(Sink):
         """Live documents: _id and the fields."""
         s = self.state(schema)
         df = self.spark.read.option("basePath", f"{self.home(schema)}/gen={s['writing' if writing else 'active']}").parquet(f"{self.home(schema)}/gen={s['writing' if writing else 'active']}/batch=*")
-        w = Window.partitionBy("_id").orderBy(F.desc("batch"))
-        return df.withColumn("__n", F.row_number().over(w)).where("__n = 1 and op = 'upsert'").select("_id", "doc.*")
+        # later batches are small beside the first: only they are grouped, and the first is cut by their ids
+        later = df.where("batch > 0").groupBy("_id").agg(F.max_by(F.struct("op", "doc"), "batch").alias("last")).select("_id", "last.op", "last.doc")
+        first = df.where("batch = 0").join(later.select("_id"), "_id", "left_anti").select("_id", "op", "doc")
+        return first.unionByName(later).where("op = 'upsert'").select("_id", "doc.*")
 
     def compact(self, schema: Schema) -> None:
         """The same documents as one batch of a new generation."""
@@ -151,7 +167,7 @@ class JsonSink(Sink):
         head = F.to_json(F.struct(F.lit("stdout").alias("sink"), F.lit(1).alias("version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSX").alias("ts"), F.lit(number).alias("seq"), F.lit(schema.index).alias("index"), F.col("op"), F.col("_id").alias("id"), meta.alias("meta")))
         return batch.select(head.alias("head"), doc.alias("doc")).select(F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(',"document":'), F.coalesce("doc", F.lit("null")), F.lit("}")).alias("value"))
 
-    def write(self, schema: Schema, batch: DataFrame, number: int) -> None:
+    def write(self, schema: Schema, batch: DataFrame, number: int, caught_up: bool = True) -> None:
         out = self.lines(schema, batch, number)
         if self.path:
             out.write.mode("overwrite").text(f"{self.path}/{schema.index}/batch={number}")
@@ -178,11 +194,11 @@ class FanOut(Sink):
         for s in self.sinks:
             s.ensure(schema)
 
-    def write(self, schema: Schema, batch: DataFrame, number: int) -> None:
+    def write(self, schema: Schema, batch: DataFrame, number: int, caught_up: bool = True) -> None:
         batch.persist()
         try:
             for s in self.sinks:
-                s.write(schema, batch, number)
+                s.write(schema, batch, number, caught_up)
         finally:
             batch.unpersist()
 
@@ -201,11 +217,16 @@ class FanOut(Sink):
             s.reindex(schema)
 
 
-def rejected(schema: Schema, batch: DataFrame) -> DataFrame:
-    """(_id, reason) of upserts that the mapping does not admit: a required field is null."""
+def reject_reason(schema: Schema) -> Column | None:
+    """Why the mapping does not admit an upsert (a required field is null), or null."""
     faults = [F.when(F.col(f"doc.`{f.name}`").isNull(), F.lit(f"`{f.name}` is required")) for f in schema.fields if not nullable(f, schema.primary_key)]
-    reason = F.coalesce(*faults, F.lit(None).cast("string")) if faults else F.lit(None).cast("string")
-    return batch.where("op = 'upsert'").select("_id", reason.alias("reason")).where("reason is not null")
+    return F.when(F.col("op") == "upsert", F.coalesce(*faults)) if faults else None
+
+
+def rejected(schema: Schema, batch: DataFrame) -> DataFrame:
+    """(_id, reason) of upserts that the mapping does not admit."""
+    reason = reject_reason(schema)
+    return batch.select("_id", (F.lit(None).cast("string") if reason is None else reason).alias("reason")).where("reason is not null")
 
 
 def plan_chunks(sizes: Iterable[int], most: int = 1000, most_bytes: int = 10 << 20) -> list[tuple[int, int]]:

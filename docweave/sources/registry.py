@@ -25,8 +25,10 @@ class Table:
 @dataclass
 class Registry:
     tables: dict[str, Table] = field(default_factory=dict)
+    _columns: dict[str, dict[str, tuple[T.DataType, bool]]] = field(default_factory=dict, repr=False)
 
     def add(self, name: str, frame: DataFrame, key: str | Iterable[str] = (), foreign_keys: Iterable[ForeignKey] = ()) -> Registry:
+        self._columns.pop(name, None)
         self.tables[name] = Table(frame, (key,) if isinstance(key, str) else tuple(key), tuple(foreign_keys))
         return self
 
@@ -60,8 +62,24 @@ class Registry:
     def key(self, name: str) -> tuple[str, ...]:
         return self.tables[name].key
 
+    def columns(self, name: str) -> dict[str, tuple[T.DataType, bool]]:
+        """Type and whether it may be null, by column; read once a table."""
+        if name not in self._columns:
+            self._columns[name] = {f.name: (f.dataType, f.nullable) for f in self.frame(name).schema}
+        return self._columns[name]
+
     def type_of(self, name: str, column: str) -> T.DataType:
-        return self.frame(name).schema[column].dataType
+        found = self.columns(name).get(column)
+        if found is None:
+            raise KeyError(f"`{name}` has no column `{column}`")
+        return found[0]
+
+    def single_key(self, name: str) -> str:
+        """The one column of a table's key; a relation can't use another kind."""
+        key = self.key(name)
+        if len(key) != 1:
+            raise ValueError(f"`{name}` has a key of {len(key)} columns: one is needed")
+        return key[0]
 
     def catalog(self) -> list[dict]:
         """Tables, columns, keys and the declared type that suits each column."""

@@ -24,8 +24,19 @@ def relation_paths(schema: Schema) -> list[tuple[Field, ...]]:
     return [(*(a for a in above if a.kind == "join"), f) for above, f in schema.walk() if f.kind in ("join", "aggregate")]
 
 
-def _key_of(c: str, column: str, kind) -> Column:
-    return F.get(F.array(F.col(c)[column]), 0).try_cast(kind)
+def typed_key(c: Column, kind, name: str) -> Column:
+    """A key's text in its column's type; text that is none is an error, never a null that drops the change."""
+    value = c.try_cast(kind)
+    wrong = F.raise_error(F.concat(F.lit(f"key `{name}`: `"), c, F.lit(f"` is no {kind.simpleString()}"))).cast(kind)
+    return F.when(c.isNotNull() & value.isNull(), wrong).otherwise(value)
+
+
+def typed_keys(registry: Registry, table: str, changes: DataFrame) -> DataFrame:
+    """The changed rows' keys of one table in its key columns' types.  A table without a key is an error."""
+    keys = registry.key(table)
+    if not keys:
+        raise ValueError(f"`{table}` has no key: its changes cannot be told apart")
+    return changes.where(F.col("table") == table).select(*(typed_key(F.col("key")[k], registry.type_of(table, k), k).alias(k) for k in keys), "op")
 
 
 def _parent(schema: Schema, path: tuple[Field, ...]) -> tuple[str, str]:
@@ -53,14 +64,14 @@ def _up(schema: Schema, registry: Registry, path: tuple[Field, ...], keys: DataF
 def _straight(changes: DataFrame, column: str, kind) -> DataFrame:
     """A column that the key or the row before carries itself."""
     both = F.explode(F.array(F.col("key")[column], F.coalesce(F.col("before"), F.create_map().cast("map<string,string>"))[column])).alias("v")
-    return changes.select(both).select(F.col("v").try_cast(kind).alias("k")).where("k is not null")
+    return changes.select(both).select(typed_key(F.col("v"), kind, column).alias("k")).where("k is not null")
 
 
 def affected(schema: Schema, registry: Registry, changes: DataFrame) -> DataFrame:
     """Distinct root keys (in the root's own types) whose documents may have changed."""
     types = registry.frame(schema.table).schema
     root = changes.where(F.col("table") == schema.table)
-    own = root.select(*(F.col("key")[k].try_cast(types[k].dataType).alias(k) for k in schema.primary_key))
+    own = root.select(*(typed_key(F.col("key")[k], types[k].dataType, k).alias(k) for k in schema.primary_key))
     found = [own]
     for path in relation_paths(schema):
         f = path[-1]

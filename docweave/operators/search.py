@@ -236,7 +236,7 @@ class Search:
         words = _words(self.clause())
         columns = []
         for p in h["paths"]:
-            found = scope.look(p)
+            found = scope.look(scope.analyzer(p)[0])  # of a subfield, the field itself
             terms = sorted({t for path, text in words if not h["own"] or path == p for t in an.analyze(text, scope.analyzer(p)[1])})
             if found is None or not terms:
                 continue

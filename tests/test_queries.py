@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: One of each kind; the driver holds all of them against their SQL.
 SOME = (
     "j1_belongs_to", "j2_has_one", "j3_has_many_order_limit", "j4_many_to_many", "j5_three_levels", "a9_through_aggregate", "a7_ids_through", "empty_relation_shapes", "f9_in", "f14_raw", "f15_root_filters_tombstone", "f16_soft_delete_column", "p1_p5_columns_transforms_constants",
-    "p7_p8_geo", "p9_map", "p15_composite_id", "q4_minimum_should_match", "q14_regexp", "n1_nested_any", "n4_nested_projection", "t2_phrase", "t7_query_string", "c4_function_score", "c8_bm25", "g1_geo_distance", "m4_map_sort_key", "x5_nested_filtered_sort", "x9_enum_order_sort", "x14_search_after", "x15_collapse", "u1_union", "r3_resolve_grandchild", "r7_resolve_through_junction", "k2_k10_r15_maintain_generations",
+    "p7_p8_geo", "p9_map", "p15_composite_id", "q4_minimum_should_match", "q14_regexp", "n1_nested_any", "n4_nested_projection", "t2_phrase", "t7_query_string", "c4_function_score", "c8_bm25", "g1_geo_distance", "m4_map_sort_key", "x5_nested_filtered_sort", "x9_enum_order_sort", "x14_search_after", "x15_collapse", "u1_union", "r3_resolve_grandchild", "r7_resolve_through_junction", "k2_k10_r15_maintain_generations", "x19_highlight", "t9_combined_fields", "u3_msearch", "s9_catalog",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")

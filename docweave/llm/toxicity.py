@@ -1,27 +1,31 @@
 """Toxicity by compression distance: two zstandard dictionaries, calibrated thresholds.
 
 Training reads labelled documents only, a bounded sample of them (``max_toxic``
-and ``max_ordinary`` rows, those whose hashed doc_id is least), and never one
-whose crc32(doc_id) mod ``folds`` is 0.
-
-  1. A toxic document is mostly ordinary text.  Byte 6-grams are scored by how much
-     oftener toxic documents hold them (a two-proportion z).  The windows (words,
-     with the space before) of toxic texts that hold a gram over ``min_z`` are what
-     the toxic dictionary is trained on; the ordinary dictionary is trained on the
-     windows of ordinary texts.
+and ``max_ordinary`` documents and ``max_bytes`` bytes a class, those whose hashed doc_id is least),
+and never one whose crc32(doc_id) mod ``folds`` is 0.  Of near copies among them one is learned from.
+
+  1. A toxic document is mostly ordinary text, and a dictionary of all of it would compress
+     ordinary windows as well as toxic ones.  So its windows (words, with the space before) are
+     told apart first: those stay that hold a byte 6-gram which toxic documents hold significantly
+     oftener (a two-proportion z of ``min_z``, the level at which about one gram in a million would pass by
+     chance, whatever the sample: with more labels rarer grams pass).  The toxic dictionary is
+     trained on what stays, the ordinary one, eight times as large, on all windows of ordinary texts.
   2. A window's distance is its length compressed with the ordinary dictionary less
      that with the toxic one.  The window is written four times over, so that even a
-     short word makes a block that zstandard compresses.
-  3. A document is the counts of its windows by distance.  A ridge-penalised logistic
-     regression on those counts and their shares calibrates the thresholds; the
-     score is its probability and 0.5 the cut.
+     short word makes a block that zstandard compresses.  Windows are counted by distance
+     and by the length that the toxic dictionary leaves.
+  3. Calibration is cross-fitted: the counts of each quarter of the sample come from dictionaries
+     trained on the other three.  They give the log likelihood ratio of each kind of window, and a
+     ridge-penalised logistic regression on a document's total ratio and its counts at or past each
+     distance; the score is its probability and 0.5 the cut.
 
 Every window of every whole text is scored.  Labels, language, source and doc_id
 are not inputs.
 
 Edge cases: null and empty texts have no windows and score what that says.  If
 one class has no training rows the score is 0 for all.  Repeated label rows
-count once each, null labels not at all.  Repeated documents come out row for row;
+count once each, null labels not at all; of repeated documents the least text is
+learned from.  They come out row for row;
 a null doc_id is not held out.  Other columns are ignored.
 """
 
@@ -35,12 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import text as tx
+from .scratch import Scratch
 
-DICTIONARY_BYTES = 4096
-LEVEL = 6
+TOXIC_BYTES, ORDINARY_BYTES = 8192, 65536
+LEVEL = 16
 GRAM = 6
 REPEAT = 4
-LOW, HIGH = -6, 10
+LOW, HIGH = -6, 12
+SPAN, LEFT = HIGH - LOW + 1, 13  # kinds of windows: by distance, and by what is left
+PARTS = 4
 CACHE_WINDOWS = 400_000
 
 
@@ -49,105 +56,139 @@ def windows(text: bytes) -> list[bytes]:
 
 
 class Distances(dict):
-    """A dict from window to its distance, clipped to LOW..HIGH and counted from 0; filled on demand."""
+    """A dict from window to its kind: the distance, clipped to LOW..HIGH, and the length left; filled on demand."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, level: int = LEVEL) -> None:
+    def __init__(self, toxic: bytes, ordinary: bytes) -> None:
         super().__init__()
         import zstandard
 
         def compressor(raw: bytes):
             d = zstandard.ZstdCompressionDict(raw)
-            d.precompute_compress(level=level)
-            return zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+            d.precompute_compress(level=LEVEL)
+            return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
         self.toxic, self.ordinary = compressor(toxic), compressor(ordinary)
         self.older: dict[bytes, int] = {}
 
     def __missing__(self, window: bytes) -> int:
-        d = self.older.get(window)
-        if d is None:
+        kind = self.older.get(window)
+        if kind is None:
             w = (b" " + window) * REPEAT
-            d = min(max(len(self.ordinary(w)) - len(self.toxic(w)), LOW), HIGH) - LOW
+            left = len(self.toxic(w))
+            kind = min(max(len(self.ordinary(w)) - left, LOW), HIGH) - LOW + SPAN * min(max(left - 8, 0) // 2, LEFT - 1)
         if len(self) >= CACHE_WINDOWS:
             self.older = dict(self)
             self.clear()
-        self[window] = d
-        return d
+        self[window] = kind
+        return kind
 
     def counts(self, text: bytes) -> np.ndarray:
         found = bytes(map(self.__getitem__, windows(text)))
-        return np.bincount(np.frombuffer(found, np.uint8), minlength=HIGH - LOW + 1).astype(np.float64)
+        return np.bincount(np.frombuffer(found, np.uint8), minlength=SPAN * LEFT).astype(np.float64)
 
 
-def features(counts: np.ndarray) -> np.ndarray:
-    """Counts of windows at or past each distance, and their shares, in logs."""
-    total = counts.sum(1, keepdims=True)
-    above = np.cumsum(counts[:, ::-1], 1)[:, ::-1][:, 1 - LOW : 8 - LOW]  # 1 to 7 and over
-    below = np.cumsum(counts, 1)[:, -5 - LOW : -LOW]  # -5 to -1 and under
-    both = np.log1p(np.concatenate([above, below, total], 1))
-    return np.concatenate([both, both[:, :-1] - both[:, -1:]], 1)
+def features(counts: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Of each document: its total log likelihood ratio, and its counts of windows at or past each distance with their shares, in logs."""
+    n, total = counts.sum(1), counts @ ratio
+    by_distance = counts.reshape(len(counts), LEFT, SPAN).sum(1)
+    above = np.log1p(np.cumsum(by_distance[:, ::-1], 1)[:, ::-1][:, 1 - LOW : 7 - LOW])  # 1 to 6 and over
+    size = np.log1p(n)
+    return np.column_stack([total, size, total / np.sqrt(n + 1), np.sign(total) * np.log1p(np.abs(total)), above, above - size[:, None]])
 
 
-def train_dictionary(samples: list[bytes], size: int, level: int) -> bytes:
+def distinct(texts: list[bytes]) -> list[bytes]:
+    """Without near copies of earlier texts: those that share half of 16 least hashes of five-word shingles.
+
+    A text copied many times would make all of its grams look toxic, or ordinary.
+    """
+    odd = tx.mix(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
+    seen: list[set[int]] = [set() for _ in odd]
+    out = []
+    for run in tx.runs(pa.array(texts, pa.large_binary())):
+        for i, s in enumerate(tx.shingle_sets(run), run.first):
+            least = tx.mix(s[None, :] * odd[:, None]).min(1).tolist() if len(s) else [0] * len(odd)
+            if sum(x in known for x, known in zip(least, seen)) * 2 < len(odd):
+                out.append(texts[i])
+            for x, known in zip(least, seen):
+                known.add(x)
+    return out
+
+
+def train_dictionary(samples: list[bytes], size: int) -> bytes:
     import zstandard
 
     samples = [s for s in samples if s] or [b" "]
     more = max(1, -(-120 * size // sum(map(len, samples))))  # the trainer wants a hundred times the size
     try:
-        return zstandard.train_dictionary(size, samples * min(more, 400), k=16, d=GRAM, level=level).as_bytes()
+        return zstandard.train_dictionary(size, samples * min(more, 400), k=16, d=GRAM, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too few samples: their bytes are the dictionary
         return b"".join(samples)[-size:]
 
 
-def _grams(words: set[bytes]) -> set[bytes]:
-    return {w[i : i + GRAM] for w in words for i in range(max(1, len(w) - GRAM + 1))}
+def _grams(window: bytes) -> list[bytes]:
+    return [window[i : i + GRAM] for i in range(max(1, len(window) - GRAM + 1))]
 
 
 class Classifier:
-    """Dictionaries and weights; small and of fixed size."""
+    """Dictionaries, ratios and weights; small and of fixed size."""
 
-    def __init__(self, toxic: list[bytes], ordinary: list[bytes], min_z: float, size: int = DICTIONARY_BYTES, level: int = LEVEL) -> None:
-        self.level, self.weights = level, None
+    def __init__(self, toxic: list[bytes], ordinary: list[bytes], min_z: float) -> None:
+        self.weights = None
         if not toxic or not ordinary:
             return
         split = [[[b" " + w for w in dict.fromkeys(windows(t))] for t in side] for side in (toxic, ordinary)]
-        a, b = Counter(), Counter()
-        for counts, side in ((a, split[0]), (b, split[1])):
-            for ws in side:
-                counts.update(_grams(set(ws)))
-        n1, n0 = len(toxic), len(ordinary)
-        grams = [g for g in a if a[g] >= min(3, n1)]
-        x, y = np.array([a[g] for g in grams], float), np.array([b[g] for g in grams], float)
-        p = (x + y + 0.5) / (n1 + n0 + 1)
-        z = (x / n1 - y / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-        if len(z):
-            min_z = min(min_z, float(np.sort(z)[-min(len(z), 30)]))  # few labels: the thirty clearest grams
-        marked = {g for g, v in zip(grams, z.tolist()) if v >= min_z}
-        clear = [b"".join(w for w in ws if not marked.isdisjoint(_grams({w}))) for ws in split[0]]
-        self.toxic = train_dictionary(clear, size, level)
-        self.ordinary = train_dictionary([b"".join(ws) for ws in split[1]], size, level)
-        distances = Distances(self.toxic, self.ordinary, level)
-        f = features(np.array([distances.counts(t) for t in toxic + ordinary]))
+        counts = [[Counter() for _ in range(PARTS)] for _ in split]  # documents that hold a gram, by class and part
+        for by_part, side in zip(counts, split):
+            for i, ws in enumerate(side):
+                by_part[i % PARTS].update(set().union(*map(_grams, ws)) if ws else ())
+        every = [sum(by_part, Counter()) for by_part in counts]
+
+        def dictionaries(without: int | None) -> tuple[bytes, bytes]:
+            own = [[ws for i, ws in enumerate(side) if without is None or i % PARTS != without] for side in split]
+            n1, n0 = max(1, len(own[0])), max(1, len(own[1]))
+            off = [by_part[without] if without is not None else Counter() for by_part in counts]
+            x = np.array([every[0][g] - off[0][g] for g in every[0]], float)
+            y = np.array([every[1][g] - off[1][g] for g in every[0]], float)
+            p = (x + y + 0.5) / (n1 + n0 + 1)
+            z = (x / n1 - y / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+            z[x < min(3, n1)] = -np.inf
+            level = min(min_z, float(np.sort(z)[-min(len(z), 30)])) if len(z) else min_z  # few labels: the thirty clearest grams
+            marked = {g for g, v in zip(every[0], z.tolist()) if v >= level and v > 0}
+            clear = [b"".join(w for w in ws if not marked.isdisjoint(_grams(w))) for ws in own[0]]
+            return train_dictionary(clear, TOXIC_BYTES), train_dictionary([b"".join(ws) for ws in own[1]], ORDINARY_BYTES)
+
+        texts = [(t, 1.0, i % PARTS) for i, t in enumerate(toxic)] + [(t, 0.0, i % PARTS) for i, t in enumerate(ordinary)]
+        y = np.array([label for _, label, _ in texts])
+        found = np.zeros((len(texts), SPAN * LEFT))
+        apart = min(len(toxic), len(ordinary)) >= 2 * PARTS  # else there is too little to hold a part back
+        for part in range(PARTS if apart else 1):
+            distances = Distances(*dictionaries(part if apart else None))
+            for i, (t, _, own) in enumerate(texts):
+                if own == part or not apart:
+                    found[i] = distances.counts(t)
+        self.toxic, self.ordinary = dictionaries(None)
+        a, b = found[y == 1].sum(0) + 0.5, found[y == 0].sum(0) + 0.5 * len(ordinary) / len(toxic)
+        self.ratio = np.clip(np.log(a / a.sum()) - np.log(b / b.sum()), -1, 6)
+        f = features(found, self.ratio)
         self.mean, self.scale = f.mean(0), f.std(0) + 1e-9
         f = np.column_stack([(f - self.mean) / self.scale, np.ones(len(f))])
-        y = np.r_[np.ones(n1), np.zeros(n0)]
         w = np.zeros(f.shape[1])
-        ridge = np.full(len(w), 0.5)
+        ridge = np.full(len(w), 1.0)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
             step = np.linalg.solve((f * (p * (1 - p))[:, None]).T @ f + np.diag(ridge), f.T @ (p - y) + ridge * w)
             w -= step
             if np.abs(step).max() < 1e-8:
                 break
-        # the sample may hold the classes in other proportions than the labels do
         self.weights = w
 
     def shift(self, log_odds: float) -> None:
+        """For other proportions of the classes than the sample's."""
         if self.weights is not None:
             self.weights[-1] += log_odds
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
-        f = (features(counts) - self.mean) / self.scale
+        f = (features(counts, self.ratio) - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(f @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
@@ -155,7 +196,7 @@ def _score(model):
     def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Classifier = model.value
         if m.weights is not None:
-            distances = tx.worker_slot(("toxicity", hash((m.toxic, m.ordinary, m.level))), lambda: Distances(m.toxic, m.ordinary, m.level))
+            distances = tx.worker_slot(("toxicity", hash((m.toxic, m.ordinary))), lambda: Distances(m.toxic, m.ordinary))
         for b in batches:
             for lo in range(0, b.num_rows, 128):
                 part = b.slice(lo, 128)
@@ -170,20 +211,36 @@ def _score(model):
     return run_over
 
 
+def _texts(docs: DataFrame, picked: DataFrame, max_bytes: int, scratch: Scratch) -> list[bytes]:
+    """The texts of the picked documents, in the order of their hashed ids, as far as ``max_bytes`` go (one at least)."""
+    own = scratch.stage(docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "sample")
+    sizes = own.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect()  # numbers, at most as many as picked
+    ids, held = [], 0
+    for r in sizes:
+        held += r["n"]
+        if ids and held > max_bytes:
+            break
+        ids.append(r["doc_id"])
+    place = {x: i for i, x in enumerate(ids)}
+    rows = own.collect() if len(ids) == len(sizes) else own.where(F.col("doc_id").isin(ids)).collect()
+    return [(r["text"] or "").encode() for r in sorted(rows, key=lambda r: place[r["doc_id"]])]
+
+
 def toxicity_scores(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5, max_toxic: int = 2000, max_ordinary: int = 4000, min_z: float = 8.5
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5, max_toxic: int = 3000, max_ordinary: int = 6000, max_bytes: int = 32 << 20, min_z: float = 5.0
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_windows), a row for each row of ``docs``."""
+    scratch = Scratch(spark, "toxicity")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out)
     sides, totals = [], []
     for toxic, most in ((1, max_toxic), (0, max_ordinary)):
         own = labels.where(F.col("toxic") == toxic)
-        picked = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most so many ids
-        rows = docs.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").select("text").collect()
-        sides.append([(r["text"] or "").encode() for r in rows])
+        picked = own.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most so many ids
+        sides.append(_texts(docs, picked, max_bytes, scratch))
         totals.append(own.count())
+    sides = [distinct(texts) for texts in sides]
     model = Classifier(*sides, min_z=min_z)
     if sides[0] and sides[1]:
         model.shift(float(np.log(totals[0] / totals[1]) - np.log(len(sides[0]) / len(sides[1]))))

@@ -19,7 +19,7 @@ from docweave.llm.jaccard import jaccard_components
 from docweave.llm.lines import line_dedup
 from docweave.llm.packing import BestFit, best_fit_decreasing, pack_documents
 from docweave.llm.quality import CLASSES, FREQUENT, GRAMS, REST, KneserNey, quality_rules
-from docweave.llm.scoring import Bits, Tables, _count_bits, mixing_scores
+from docweave.llm.scoring import Bits, Tables, _count_bits, _spread, mixing_scores, table_bits
 from docweave.llm.suffix import substring_dedup
 from docweave.llm.toxicity import toxicity_scores
 
@@ -362,17 +362,75 @@ def test_scoring_beats_the_base_on_held_out(spark):
     assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held) * 1.02
 
 
+def _counted(words, bits):
+    """Tables of the bit counts of some words."""
+    got = np.zeros(sum(2 << n for n in bits), np.float32)
+    for batch in _count_bits(bits)(iter([pa.RecordBatch.from_arrays([pa.array(words, pa.binary())], names=["word"])])):
+        i = batch.column(0)[0].as_py()
+        got[i << 15 : (i + 1) << 15] = _spread(batch.column(1)[0].as_py())
+    return Tables(bits, np.split(got, np.cumsum([2 << n for n in bits])[:-1]))
+
+
 def test_scoring_knows_a_letter_after_its_last_one():
     words = [bytes([c]) + b"qu" for c in range(97, 123) if c != ord("k")]
-    blocks = list(_count_bits(iter([pa.RecordBatch.from_arrays([pa.array(words, pa.binary())], names=["word"])])))[0]
-    counts = np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in blocks.column("counts")])
-    bits = Bits([b"kqu"])
-    x, (_, depth) = Tables(counts).price_inputs(bits)
+    tables = _counted(words, table_bits(len(words)))
+    bits = Bits([b"kqu"], tables.bits)
+    x, (_, depth) = tables.price_inputs(bits)
     u = slice(16, 24)  # after "kq", which no word has; "q" is always followed by "u"
     assert (depth[u] // 4 == 1).all()
     assert (sum(x)[u] * np.where(bits.bit[u] == 1, 1, -1) > 2).all()
 
 
+def test_scoring_tables_grow_with_the_vocabulary():
+    assert [table_bits(n) for n in (0, 1000, 1 << 20, 3_200_000, 10**10)] == [(17, 19, 19, 19, 19), (17, 19, 19, 19, 19), (17, 19, 20, 20, 20), (17, 19, 21, 22, 22), (17, 19, 21, 24, 24)]
+    words = [f"w{i:x}y".encode() for i in range(4000)]
+    tables = _counted(words, table_bits(len(words)))
+    assert all(t.sum() == sum(8 * (len(w) + 1) for w in words) for t in tables.counts)
+
+
+def test_scoring_equals_its_definitions(spark):
+    """The score recomputed a token at a time from the formulas, given the price of spelling."""
+    rows = [(i, prose(i, 60) + " Ünïcode" * (i % 3), ("en", "de", None)[i % 3], "s", 1) for i in range(40)] + [(77, None, "en", "s", 1), (None, "w1 zz9", "de", "s", 1)]
+    tokens = [[w.encode() for w in lower(r[1] or "").split()] + [b"\n"] for r in rows]
+    held = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 10 == 0 for r in rows]
+    langs = Counter(r[2] for r, h in zip(rows, held) if not h)
+    order = sorted(langs, key=lambda x: (-langs[x], x is not None, x or ""))
+    counts = {lang: Counter(t for w, r, h in zip(tokens, rows, held) if not h and r[2] == lang for t in w) for lang in order}
+    every = sum(counts.values(), Counter())
+
+    def level(c):
+        n, once, twice = sum(c.values()), sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        return n, min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5, len(c)
+
+    words = sorted(set(every) | {t for w in tokens for t in w})
+    train = sorted(every)
+    tables = _counted(train, table_bits(len(train)))
+    # the mixer learns in the order of hashes, in one task here
+    hashed = spark.createDataFrame([(bytearray(w),) for w in train], "word binary").repartition(1).collect()
+    out = {(r["doc_id"], r["n_tokens"]): r["score"] for r in mixing_scores(spark, frame(spark, rows)).collect()}
+    assert len(hashed) == len(train) and len(out) == len(rows)
+    n, d, v = level(every)
+    # base-free bounds: each token costs no more than its count alone, and no less than with free spelling
+    shares = np.array([langs[x] + 0.5 for x in order] + [0.5, 0.5])
+    priors = np.log10(shares / shares.sum())
+    for r, w in zip(rows, tokens):
+        def prob(spelled):
+            shared = {t: max(every[t] - d, 0) / n + d * v / n * spelled for t in w}
+            logs = []
+            for x in order:
+                m, e, k = level(counts[x])
+                logs.append(sum(math.log10(max(counts[x][t] - e, 0) / m + e * k / m * shared[t]) if counts[x][t] or spelled else -math.inf for t in w))
+            logs.append(sum(math.log10(shared[t]) if shared[t] else -math.inf for t in w))  # the rest of the languages: no documents, so the shared model
+            logs.append(logs[-1])
+            top = max(p + x for p, x in zip(priors, logs))
+            return -math.inf if top == -math.inf else top + math.log10(sum(10 ** (p + x - top) for p, x in zip(priors, logs)))
+
+        got = out[r[0], len(w)]
+        assert prob(0.0) - 1e-6 <= got <= prob(1.0) + 1e-6, r
+    bits = Bits(words, tables.bits)
+    assert len(bits) == 8 * sum(len(w) + (w != b"\n") for w in words)
+
+
 def _toxic_rows(n):
     return [(i, prose(i, 120) + (" vilenessword rottenone" if i % 4 == 0 else "") + " " + prose(9000 + i, 60), "en", "s", 1) for i in range(n)]
 

@@ -9,15 +9,16 @@ and never one whose crc32(doc_id) mod ``folds`` is 0.  Of near copies among them
      told apart first: those stay that hold a byte 6-gram which toxic documents hold significantly
      oftener (a two-proportion z of ``min_z``, the level at which about one gram in a million would pass by
      chance, whatever the sample: with more labels rarer grams pass).  The toxic dictionary is
-     trained on what stays, the ordinary one, eight times as large, on all windows of ordinary texts.
-  2. A window's distance is its length compressed with the ordinary dictionary less
-     that with the toxic one.  The window is written four times over, so that even a
+     trained on what stays, the ordinary one, eight times as large, on all windows of ordinary texts;
+     there are two such pairs, from the samples in either order.
+  2. A window's distance is its length compressed with the ordinary dictionaries less
+     that with the toxic ones.  The window is written four times over, so that even a
      short word makes a block that zstandard compresses.  Windows are counted by distance
-     and by the length that the toxic dictionary leaves.
+     and by the length that the toxic dictionaries leave.
   3. Calibration is cross-fitted: the counts of each quarter of the sample come from dictionaries
      trained on the other three.  They give the log likelihood ratio of each kind of window, and a
      ridge-penalised logistic regression on a document's total ratio and its counts at or past each
-     distance; the score is its probability and 0.5 the cut.
+     distance; its threshold is set where the held-back counts give the best F1, and that is the score 0.5.
 
 Every window of every whole text is scored.  Labels, language, source and doc_id
 are not inputs.
@@ -31,7 +32,6 @@ a null doc_id is not held out.  Other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,8 +45,8 @@ TOXIC_BYTES, ORDINARY_BYTES = 8192, 65536
 LEVEL = 16
 GRAM = 6
 REPEAT = 4
-LOW, HIGH = -6, 12
-SPAN, LEFT = HIGH - LOW + 1, 13  # kinds of windows: by distance, and by what is left
+LOW, HIGH = -10, 26  # the distances of both pairs, added
+SPAN, LEFT = HIGH - LOW + 1, 6  # kinds of windows: by distance, and by what is left
 PARTS = 4
 CACHE_WINDOWS = 400_000
 
@@ -58,7 +58,7 @@ def windows(text: bytes) -> list[bytes]:
 class Distances(dict):
     """A dict from window to its kind: the distance, clipped to LOW..HIGH, and the length left; filled on demand."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes) -> None:
+    def __init__(self, pairs: list[tuple[bytes, bytes]]) -> None:
         super().__init__()
         import zstandard
 
@@ -67,15 +67,18 @@ class Distances(dict):
             d.precompute_compress(level=LEVEL)
             return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
-        self.toxic, self.ordinary = compressor(toxic), compressor(ordinary)
+        self.pairs = [(compressor(toxic), compressor(ordinary)) for toxic, ordinary in pairs]
         self.older: dict[bytes, int] = {}
 
     def __missing__(self, window: bytes) -> int:
         kind = self.older.get(window)
         if kind is None:
             w = (b" " + window) * REPEAT
-            left = len(self.toxic(w))
-            kind = min(max(len(self.ordinary(w)) - left, LOW), HIGH) - LOW + SPAN * min(max(left - 8, 0) // 2, LEFT - 1)
+            left = plain = 0
+            for toxic, ordinary in self.pairs:
+                left += len(toxic(w))
+                plain += len(ordinary(w))
+            kind = min(max(plain - left, LOW), HIGH) - LOW + SPAN * min(max(left - 16, 0) // 8, LEFT - 1)
         if len(self) >= CACHE_WINDOWS:
             self.older = dict(self)
             self.clear()
@@ -91,7 +94,7 @@ def features(counts: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     """Of each document: its total log likelihood ratio, and its counts of windows at or past each distance with their shares, in logs."""
     n, total = counts.sum(1), counts @ ratio
     by_distance = counts.reshape(len(counts), LEFT, SPAN).sum(1)
-    above = np.log1p(np.cumsum(by_distance[:, ::-1], 1)[:, ::-1][:, 1 - LOW : 7 - LOW])  # 1 to 6 and over
+    above = np.log1p(np.cumsum(by_distance[:, ::-1], 1)[:, ::-1][:, 1 - LOW : 13 - LOW])  # 1 to 12 and over
     size = np.log1p(n)
     return np.column_stack([total, size, total / np.sqrt(n + 1), np.sign(total) * np.log1p(np.abs(total)), above, above - size[:, None]])
 
@@ -125,48 +128,67 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def _grams(window: bytes) -> list[bytes]:
-    return [window[i : i + GRAM] for i in range(max(1, len(window) - GRAM + 1))]
+def _grams(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct windows, grams as numbers, the window of each) of a text; a window shorter than a gram is one itself."""
+    ws = [b" " + w for w in dict.fromkeys(windows(text))]
+    if not ws:
+        return ws, np.empty(0, np.uint64), np.empty(0, np.int64)
+    sizes = np.array([max(len(w), GRAM) for w in ws])
+    data = np.frombuffer(b"".join(w.ljust(GRAM, b"\0") for w in ws), np.uint8).astype(np.uint64)
+    codes = np.zeros(len(data) - GRAM + 1, np.uint64)
+    for j in range(GRAM):
+        codes |= data[j : len(codes) + j] << np.uint64(8 * j)
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(ws)), sizes)[: len(codes)]
+    inside = np.arange(len(codes)) + GRAM <= ends[owner]
+    return ws, codes[inside], owner[inside]
 
 
 class Classifier:
     """Dictionaries, ratios and weights; small and of fixed size."""
 
-    def __init__(self, toxic: list[bytes], ordinary: list[bytes], min_z: float) -> None:
+    def __init__(self, toxic: list[bytes], ordinary: list[bytes], min_z: float, share: float = 0.5) -> None:
+        """``share``: of toxic ones among all labels."""
         self.weights = None
         if not toxic or not ordinary:
             return
-        split = [[[b" " + w for w in dict.fromkeys(windows(t))] for t in side] for side in (toxic, ordinary)]
-        counts = [[Counter() for _ in range(PARTS)] for _ in split]  # documents that hold a gram, by class and part
-        for by_part, side in zip(counts, split):
-            for i, ws in enumerate(side):
-                by_part[i % PARTS].update(set().union(*map(_grams, ws)) if ws else ())
-        every = [sum(by_part, Counter()) for by_part in counts]
-
-        def dictionaries(without: int | None) -> tuple[bytes, bytes]:
-            own = [[ws for i, ws in enumerate(side) if without is None or i % PARTS != without] for side in split]
-            n1, n0 = max(1, len(own[0])), max(1, len(own[1]))
-            off = [by_part[without] if without is not None else Counter() for by_part in counts]
-            x = np.array([every[0][g] - off[0][g] for g in every[0]], float)
-            y = np.array([every[1][g] - off[1][g] for g in every[0]], float)
+        marks = [_grams(t) for t in toxic]
+        known = np.unique(np.concatenate([np.unique(g) for _, g, _ in marks]))
+        counts = np.zeros((2, PARTS, len(known)))  # documents that hold a gram of toxic texts, by class and part
+        for side, texts in enumerate((toxic, ordinary)):
+            for i, t in enumerate(texts):
+                own = np.unique(marks[i][1] if side == 0 else _grams(t)[1])
+                at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+                if len(known):
+                    counts[side, i % PARTS, at[known[at] == own]] += 1
+
+        def dictionaries(without: int | None) -> list[tuple[bytes, bytes]]:
+            """Two pairs: what the trainer picks depends on the order of its samples, and the distances of both tell more than one's."""
+            stay = [p for p in range(PARTS) if p != without]
+            n1, n0 = (max(1, sum(i % PARTS in stay for i in range(len(side)))) for side in (toxic, ordinary))
+            x, y = counts[0, stay].sum(0), counts[1, stay].sum(0)
             p = (x + y + 0.5) / (n1 + n0 + 1)
             z = (x / n1 - y / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
             z[x < min(3, n1)] = -np.inf
             level = min(min_z, float(np.sort(z)[-min(len(z), 30)])) if len(z) else min_z  # few labels: the thirty clearest grams
-            marked = {g for g, v in zip(every[0], z.tolist()) if v >= level and v > 0}
-            clear = [b"".join(w for w in ws if not marked.isdisjoint(_grams(w))) for ws in own[0]]
-            return train_dictionary(clear, TOXIC_BYTES), train_dictionary([b"".join(ws) for ws in own[1]], ORDINARY_BYTES)
+            marked = known[(z >= level) & (z > 0)]
+            clear = []
+            for i, (ws, grams, owner) in enumerate(marks):
+                if i % PARTS in stay:
+                    clear.append(b"".join(ws[j] for j in np.unique(owner[np.isin(grams, marked)]).tolist()))
+            plain = [b"".join(b" " + w for w in dict.fromkeys(windows(t))) for i, t in enumerate(ordinary) if i % PARTS in stay]
+            return [(train_dictionary(clear[::step], TOXIC_BYTES), train_dictionary(plain[::step], ORDINARY_BYTES)) for step in (1, -1)]
 
         texts = [(t, 1.0, i % PARTS) for i, t in enumerate(toxic)] + [(t, 0.0, i % PARTS) for i, t in enumerate(ordinary)]
         y = np.array([label for _, label, _ in texts])
         found = np.zeros((len(texts), SPAN * LEFT))
         apart = min(len(toxic), len(ordinary)) >= 2 * PARTS  # else there is too little to hold a part back
         for part in range(PARTS if apart else 1):
-            distances = Distances(*dictionaries(part if apart else None))
+            distances = Distances(dictionaries(part if apart else None))
             for i, (t, _, own) in enumerate(texts):
                 if own == part or not apart:
                     found[i] = distances.counts(t)
-        self.toxic, self.ordinary = dictionaries(None)
+        self.pairs = dictionaries(None)
         a, b = found[y == 1].sum(0) + 0.5, found[y == 0].sum(0) + 0.5 * len(ordinary) / len(toxic)
         self.ratio = np.clip(np.log(a / a.sum()) - np.log(b / b.sum()), -1, 6)
         f = features(found, self.ratio)
@@ -180,13 +202,15 @@ class Classifier:
             w -= step
             if np.abs(step).max() < 1e-8:
                 break
+        # the cut at 0.5 goes where the held-back counts give the best F1, the classes weighing as they do among all labels
+        odds = f @ w
+        order = np.argsort(-odds)
+        weight = np.where(y == 1, share / len(toxic), (1 - share) / len(ordinary))[order]
+        caught, flagged = np.cumsum(weight * y[order]), np.cumsum(weight)
+        best = int(np.argmax(2 * caught / (flagged + share)))
+        w[-1] -= odds[order[best]] if best + 1 == len(odds) else (odds[order[best]] + odds[order[best + 1]]) / 2
         self.weights = w
 
-    def shift(self, log_odds: float) -> None:
-        """For other proportions of the classes than the sample's."""
-        if self.weights is not None:
-            self.weights[-1] += log_odds
-
     def scores(self, counts: np.ndarray) -> np.ndarray:
         f = (features(counts, self.ratio) - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(f @ self.weights[:-1] + self.weights[-1], -30, 30)))
@@ -196,7 +220,7 @@ def _score(model):
     def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Classifier = model.value
         if m.weights is not None:
-            distances = tx.worker_slot(("toxicity", hash((m.toxic, m.ordinary))), lambda: Distances(m.toxic, m.ordinary))
+            distances = tx.worker_slot(("toxicity", hash(tuple(m.pairs))), lambda: Distances(m.pairs))
         for b in batches:
             for lo in range(0, b.num_rows, 128):
                 part = b.slice(lo, 128)
@@ -241,8 +265,6 @@ def toxicity_scores(
         sides.append(_texts(docs, picked, max_bytes, scratch))
         totals.append(own.count())
     sides = [distinct(texts) for texts in sides]
-    model = Classifier(*sides, min_z=min_z)
-    if sides[0] and sides[1]:
-        model.shift(float(np.log(totals[0] / totals[1]) - np.log(len(sides[0]) / len(sides[1]))))
+    model = Classifier(*sides, min_z=min_z, share=totals[0] / max(1, sum(totals)))
     out = docs.mapInArrow(_score(spark.sparkContext.broadcast(model)), "doc_id long, score double, n_windows long")
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_windows")

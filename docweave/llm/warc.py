@@ -9,11 +9,15 @@ states WARC-Segment-Total-Length.  Long bodies are also framed in chunks
 (Transfer-Encoding: chunked).  Spark's text writer makes the files, with
 CRLF CRLF, the end of a WARC record, as its line separator; files are gzip members.
 
-Reading.  Spark's binaryFile source opens the archives wherever they are; records
+Reading.  Spark's binaryFile source opens the archives (``*.warc``, ``*.warc.gz`` and what is
+written here) wherever they are; records
 are cut by Content-Length.  Continuations are grouped by origin id, ordered by
 segment number, checked for gaps and against the total length, joined, and then
 taken out of their chunks.  Whatever does not add up becomes a row with an
-``error`` instead of a payload.
+``error`` instead of a payload: a record that is cut off or has no usable length or headers, a
+broken gzip member (what comes before it is read), segments with gaps, wrong framing.  What
+follows a record whose end is unknown is lost, up to the next file.  A revisit has no payload of its
+own; ``resolved`` takes its length and digest from the response that it names.
 
 Edge cases: a null html is an empty payload; a null url an empty target.  Pages
 with a null page_id are responses of their own.  Repeated rows of one page_id
@@ -23,7 +27,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-import gzip
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,12 +57,14 @@ def _chunked(payload: Column) -> Column:
 
 
 def assign_records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """page_id, url, html, payload_bytes, payload_digest, record_type, refers_to, row_id."""
+    """page_id, url, html, payload_bytes, payload_digest, record_type, refers_to, copy."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha2(F.col("html").cast("binary"), 256), "row_id": F.monotonically_increasing_id()})
     # minimum by digest first, then a join: a digest of very many copies is reduced before it moves
     first = p.where((F.col("payload_bytes") >= revisit_bytes) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min("page_id").alias("first"))
     p = p.join(first, "payload_digest", "left")
+    # rows of one page and payload are numbered, on the join's own partitioning: ids come from values that any task finds again
+    p = p.withColumn("copy", F.row_number().over(W.partitionBy("payload_digest", "page_id").orderBy("row_id"))).drop("row_id")
     revisit = F.col("first").isNotNull() & F.col("page_id").isNotNull() & (F.col("payload_bytes") >= revisit_bytes) & (F.col("page_id") != F.col("first"))
     return p.withColumns({"record_type": F.when(F.coalesce(revisit, F.lit(False)), "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("first"))}).drop("first")
 
@@ -73,8 +79,8 @@ def record_texts(p: DataFrame, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
     pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.char_length("block") / segment_chars).cast("int") - 1), lambda i: F.substring(F.col("block"), i * segment_chars + 1, F.lit(segment_chars)))
     p = p.withColumn("total", F.octet_length("block")).select("*", F.posexplode(pieces).alias("at", "piece"), F.ceil(F.char_length("block") / segment_chars).alias("pieces")).drop("html", "block")
     # the id comes from the row, so a task that runs again writes the same records
-    def urn(part: Column) -> Column:
-        h = F.md5(F.concat_ws(":", F.col("payload_digest"), F.col("row_id").cast("string"), part.cast("string")))
+    def urn(part: Column, page: str = "page_id", copy: Column = F.col("copy")) -> Column:
+        h = F.md5(F.concat_ws(":", F.col("payload_digest"), F.coalesce(F.col(page).cast("string"), F.lit("")), copy.cast("string"), part.cast("string")))
         return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", h.substr(1, 8), h.substr(9, 4), h.substr(13, 4), h.substr(17, 4), h.substr(21, 12)), F.lit(">"))
 
     first, several = F.col("at") == 0, F.col("pieces") > 1
@@ -86,8 +92,7 @@ def record_texts(p: DataFrame, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", "[\\r\\n]", " ")),
         F.when(F.col("page_id").isNotNull(), F.concat(F.lit("X-Page-ID: "), F.col("page_id").cast("string"))),
         F.when(first, F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("payload_digest"))),
-        F.when(first, F.concat(F.lit("X-Payload-Length: "), F.col("payload_bytes").cast("string"))),
-        F.when(first & F.col("refers_to").isNotNull(), F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nX-Refers-To-Page-ID: "), F.col("refers_to").cast("string"))),
+        F.when(first & F.col("refers_to").isNotNull(), F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), urn(F.lit(0), "refers_to", F.lit(1)))),
         F.when(several, F.concat(F.lit("WARC-Segment-Number: "), (F.col("at") + 1).cast("string"))),
         F.when(~first, F.concat(F.lit("WARC-Segment-Origin-ID: "), urn(F.lit(0)))),
         F.when(several & (F.col("at") == F.col("pieces") - 1), F.concat(F.lit("WARC-Segment-Total-Length: "), F.col("total").cast("string"))),
@@ -102,8 +107,23 @@ def write_warc(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES,
     records.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record of an uncompressed archive."""
+def inflate(data: bytes) -> tuple[bytes, str | None]:
+    """The bytes of all gzip members, as far as they can be read, and what is wrong with the rest."""
+    out = []
+    while data:
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error as e:
+            return b"".join(out), f"gzip: {e}"
+        if not member.eof:
+            return b"".join(out), "gzip: the last member is cut off"
+        data = member.unused_data.lstrip(b"\0")
+    return b"".join(out), None
+
+
+def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None, str | None]]:
+    """(headers with lower-case names, block, fault) of each record of an uncompressed archive; after a fault there are no more."""
     at = 0
     while at < len(data):
         if data[at : at + 2] == b"\r\n":
@@ -111,18 +131,22 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             continue
         end = data.find(b"\r\n\r\n", at)
         if end < 0 or data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
+            yield {}, None, f"no WARC record at byte {at}"
+            return
         headers = {}
         for line in data[at:end].split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
-            headers[name.decode().strip().lower()] = value.decode().strip()
-        n = int(headers["content-length"])
-        at = end + 4
-        block = data[at : at + n]
-        if len(block) != n:
-            raise ValueError(f"record at byte {end} is cut off")
-        yield headers, block
-        at += n
+            headers[name.decode(errors="replace").strip().lower()] = value.decode(errors="replace").strip()
+        length = headers.get("content-length", "")
+        if not (length.isascii() and length.isdigit()):
+            yield headers, None, f"the record at byte {at} has no length"
+            return
+        block = data[end + 4 : end + 4 + int(length)]
+        if len(block) != int(length):
+            yield headers, None, f"the record at byte {at} is cut off"
+            return
+        yield headers, block, None
+        at = end + 4 + len(block)
 
 
 def unchunk(body: bytes) -> bytes:
@@ -131,6 +155,8 @@ def unchunk(body: bytes) -> bytes:
     while True:
         end = body.index(b"\r\n", at)
         size = int(body[at:end].split(b";")[0], 16)
+        if size < 0:
+            raise ValueError(f"chunk at byte {at} has a negative size")
         at = end + 2
         if size == 0:
             return b"".join(out)
@@ -162,35 +188,47 @@ def payload_of(block: bytes) -> bytes:
     return body
 
 
-_RECORD_SQL = "record_id string, kind string, page_id long, url string, digest string, declared long, refers_to long, number long, total long, payload binary, error string"
-_RECORD = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("declared", pa.int64()), ("refers_to", pa.int64()), ("number", pa.int64()), ("total", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
+_RECORD_SQL = "record_id string, kind string, page_id long, url string, digest string, refers_to_id string, number long, total long, payload binary, error string"
+_RECORD = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("refers_to_id", pa.string()), ("number", pa.int64()), ("total", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
 
 
 def _number(x: str | None) -> int | None:
-    return None if x is None else int(x)
+    return int(x) if x is not None and x.lstrip("-").isdigit() and x.isascii() and len(x) < 19 else None
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (path, content): records, those in segments still cut."""
+
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RECORD)], schema=_RECORD)
 
     for b in batches:
-        for content in b.column(0):
-            data = content.as_py()
-            rows, held = [], 0
-            for h, block in parse_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                number, error = _number(h.get("warc-segment-number")), None
-                if number is None:  # whole: its payload comes out here, and never moves with others
+        for path, content in zip(b.column(0), b.column(1)):
+            data, broken = content.as_py() or b"", None
+            if data[:2] == b"\x1f\x8b":
+                data, broken = inflate(data)
+            rows, held, fault = [], 0, None
+            for h, block, fault in parse_records(data):
+                number, error = _number(h.get("warc-segment-number")), fault
+                if error is None and h.get("warc-record-id") is None:
+                    error = "a record without an id"
+                if "warc-segment-number" in h and number is None:
+                    error = error or f"segment number `{h['warc-segment-number']}`"
+                if error is not None:
+                    number, block = None, None
+                elif number is None:  # whole: its payload comes out here, and never moves with others
                     try:
                         block = payload_of(block)
                     except ValueError as e:
                         block, error = None, str(e)
                 digest = h.get("warc-payload-digest", "").removeprefix("sha256:") or None
-                rows.append((h.get("warc-segment-origin-id", h["warc-record-id"]), h["warc-type"], _number(h.get("x-page-id")), h.get("warc-target-uri"), digest, _number(h.get("x-payload-length")), _number(h.get("x-refers-to-page-id")), number, _number(h.get("warc-segment-total-length")), block, error))
+                rows.append((h.get("warc-segment-origin-id", h.get("warc-record-id", path.as_py())), h.get("warc-type"), _number(h.get("x-page-id")), h.get("warc-target-uri"), digest, h.get("warc-refers-to"), number, _number(h.get("warc-segment-total-length")), block, error))
                 held += len(block or b"")
                 if held > 8 << 20:
                     yield batch(rows)
                     rows, held = [], 0
+            if broken is not None and fault is None:  # else the record that it cuts says so
+                rows.append((path.as_py(), None, None, None, None, None, None, None, None, broken))
             if rows:
                 yield batch(rows)
 
@@ -221,32 +259,48 @@ def _join_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record of the archives under ``path``, segments joined.
 
-    record_id, record_type, page_id, url, payload_digest and declared_bytes as
-    stated, refers_to, payload (null for revisits), error.
+    record_id, record_type, page_id, url, payload_digest as stated, refers_to_id (the record that a
+    revisit names), payload (null for revisits), error.  A fault that belongs to no record has its file's path as record_id.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz,txt,txt.gz}").load(path).select("path", "content")
     records = files.mapInArrow(_read, _RECORD_SQL)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = records.where("number is not null").repartition(parts, "record_id").sortWithinPartitions("record_id", "number").mapInArrow(_join_segments, _RECORD_SQL)
     out = records.where("number is null").unionByName(cut)
-    payload = F.when(F.col("kind") != "revisit", F.col("payload"))
-    return out.select("record_id", F.col("kind").alias("record_type"), "page_id", "url", F.col("digest").alias("payload_digest"), F.col("declared").alias("declared_bytes"), "refers_to", payload.alias("payload"), "error")
+    payload = F.when(F.coalesce(F.col("kind") != "revisit", F.lit(True)), F.col("payload"))
+    return out.select("record_id", F.col("kind").alias("record_type"), "page_id", "url", F.col("digest").alias("payload_digest"), "refers_to_id", payload.alias("payload"), "error")
+
+
+def resolved(records: DataFrame, scratch: Scratch) -> DataFrame:
+    """``records`` of ``read_warc`` without their payloads: record_id, page_id, url, record_type, refers_to, payload_bytes, payload_digest, error.
+
+    A response's length and digest are those of its payload, a revisit's those of the
+    response that it names.  A payload that is not what its record states, and a revisit whose response is not
+    there or has another digest, are errors.  The archives are read once.
+    """
+    own = records.select("record_id", "record_type", "page_id", "url", "refers_to_id", F.col("payload_digest").alias("stated"), F.sha2("payload", 256).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), "error")
+    own = scratch.stage(own, "records")
+    differs = F.when(F.col("stated").isNotNull() & (F.col("stated") != F.col("payload_digest")), F.lit("payload differs from its digest"))
+    whole = own.where("record_type is null or record_type <> 'revisit' or error is not null")
+    whole = whole.select("record_id", "page_id", "url", "record_type", F.lit(None).cast("long").alias("refers_to"), "payload_bytes", "payload_digest", F.coalesce("error", differs).alias("error"))
+    revisits = own.where("record_type = 'revisit' and error is null").select("record_id", "page_id", "url", "record_type", "refers_to_id", "stated")
+    # the responses that are named, each once however many revisit it
+    named = revisits.select(F.col("refers_to_id").alias("named")).distinct()
+    responses = own.where("record_type = 'response' and error is null").join(named, F.col("record_id") == F.col("named"), "left_semi")
+    responses = responses.select(F.col("record_id").alias("named"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
+    found = revisits.join(responses, F.col("refers_to_id") == F.col("named"), "left")
+    missing = F.when(F.col("named").isNull(), F.lit("the response that it names is not there"))
+    return whole.unionByName(found.select("record_id", "page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", F.coalesce(missing, differs).alias("error")))
 
 
 def warc_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Writes ``pages`` to archives in the shared folder and reads them back.
+    """Writes ``pages`` to archives in the shared folder and reads them back, revisits resolved: the columns of ``resolved`` but error.
 
-    Adds payload_bytes and payload_digest of what was read; a revisit has those of
-    the response it refers to, as stated in its own record.  An unreadable record, or
-    one whose payload is not what it states, raises.
+    An unreadable record, one whose payload is not what it states, and a revisit of nothing raise.
     """
-    path = Scratch(spark, "warc").path("archives")
+    scratch = Scratch(spark, "warc")
+    path = scratch.path("archives")
     write_warc(pages, path)
-    read = read_warc(spark, path)
-    own = F.sha2("payload", 256)
-    fault = F.when(F.col("error").isNotNull(), F.col("error")).when((F.col("record_type") == "response") & (own != F.col("payload_digest")), F.lit("payload differs from its digest"))
-    checked = F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("WARC record "), F.col("record_id"), F.lit(": "), fault)).cast("string"))
-    response = F.col("record_type") == "response"
-    return read.select("page_id", "url", "record_type", "refers_to", "payload",
-                       F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("declared_bytes")).alias("payload_bytes"),
-                       F.coalesce(checked, F.when(response, own).otherwise(F.col("payload_digest"))).alias("payload_digest"))
+    read = resolved(read_warc(spark, path), scratch)
+    checked = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("WARC record "), F.col("record_id"), F.lit(": "), F.col("error"))).cast("string")).otherwise(F.col("payload_digest"))
+    return read.withColumn("payload_digest", checked).drop("error")

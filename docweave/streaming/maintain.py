@@ -234,17 +234,15 @@ class TransactionBuffer:
     def admit(self, log: DataFrame, number: int) -> DataFrame:
         columns = ["kind", "xid", "table", "op", "key", "before", "seq"]
         rows = self._waiting(number).unionByName(log.select(*columns))
-        begun = rows.where("kind = 'begin'").groupBy("xid").agg(F.max("seq").alias("begun"))
-        ended = rows.where("kind in ('commit', 'abort')").groupBy("xid").agg(F.max_by("kind", "seq").alias("end"), F.max("seq").alias("ended"))
-        state = rows.where("kind = 'change'").join(begun, "xid", "left").where("begun is null or seq > begun").join(ended, "xid", "left")
-        done = F.col("ended").isNotNull() & (F.col("seq") < F.col("ended"))
-        waiting = state.where(~F.coalesce(done, F.lit(False))).select(*columns)
-        open_begins = rows.where("kind = 'begin'").join(ended, "xid", "left").where("ended is null or seq > ended").select(*columns)
-        waiting.unionByName(open_begins).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+        # what comes next for a change's transaction decides: its commit, its abort, or a begin after it broke off
+        marks = rows.where("kind <> 'change'").groupBy("xid").agg(F.collect_list(F.struct("seq", "kind")).alias("marks"))
+        state = rows.where("kind = 'change'").join(marks, "xid", "left")
+        state = state.withColumn("next", F.array_min(F.filter("marks", lambda m: m["seq"] > F.col("seq"))))
+        state.where("next is null").select(*columns).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
         for f in self.files.folders(self.path):  # the one before is read again if this batch comes again
             if int(f.removeprefix("batch=")) < number - 1:
                 self.files.delete(f"{self.path}/{f}")
-        return state.where(done & (F.col("end") == "commit")).select("table", "op", "key", "before", F.col("ended").alias("seq"), F.col("seq").alias("place"), "xid")
+        return state.where("next.kind = 'commit'").select("table", "op", "key", "before", F.col("next.seq").alias("seq"), F.col("seq").alias("place"), "xid")
 
 
 def log_changes(stream: DataFrame, raw: str = "value", transactions: bool = False) -> DataFrame:

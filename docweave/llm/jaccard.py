@@ -88,9 +88,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _add_blocks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     total = np.zeros((1 << SKETCH_BITS) // _BLOCKS, np.uint64)
+    kind = np.uint32 if len(key) > 1 else np.uint64  # of tasks, or of groups of them
     for x in table.column("counts").to_pylist():
-        total += np.frombuffer(x, np.uint32)
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+        total += np.frombuffer(x, kind)
+    return pa.table({"block": pa.array([key[-1].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def _needed(n, percent: int):
@@ -311,7 +312,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 80)
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stat = scratch.stage(docs.mapInArrow(_scan, _STAT), "scan")
-    blocks = stat.where("block is not null").groupBy("block").applyInArrow(_add_blocks, "block int, counts binary").collect()
+    # two levels, so that no group has a row of every scan task
+    some = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(_BLOCKS))
+    blocks = stat.where("block is not null").select(some.alias("some"), "block", "counts").groupBy("some", "block").applyInArrow(_add_blocks, "block int, counts binary")
+    blocks = blocks.groupBy("block").applyInArrow(_add_blocks, "block int, counts binary").collect()
     sketch = np.zeros(1 << SKETCH_BITS, np.uint64)
     for r in blocks:
         sketch.reshape(_BLOCKS, -1)[r["block"]] = np.frombuffer(r["counts"], np.uint64)

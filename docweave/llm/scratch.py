@@ -1,7 +1,7 @@
 """Written intermediate tables in the cluster's shared folder.
 
-``spark.checkpoint.dir`` names that folder; only where it is unset (tests, a
-laptop) a local one is made.  A staged table survives lost executors and cuts
+``spark.checkpoint.dir`` names that folder; only where it is unset and Spark runs in
+this process alone (tests, a laptop) a local one is made, on a cluster that is an error.  A staged table survives lost executors and cuts
 the lineage.  ``Scratch.drop`` removes what a finished operator no longer needs;
 the rest goes when the driver ends.
 """
@@ -9,6 +9,7 @@ the rest goes when the driver ends.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         jvm_dir = sc._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             found = jvm_dir.get()
+    if not found and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="docweave-")
         sc.setCheckpointDir(found)

@@ -90,7 +90,7 @@ COMMANDS = ("check", "build", "preview", "example", "bindings", "compile", "load
 
 
 def main(args: list[str]) -> int:
-    if not args or args[0] not in COMMANDS:
+    if len(args) < 2 or args[0] not in COMMANDS:
         print(__doc__)
         return 2
     command, rest = args[0], args[1:]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import tomllib
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 from typing import Any
@@ -71,17 +72,22 @@ def _read(kind: type, path: str, raw: Any) -> Any:
 def load_config(path: str) -> Config:
     """Schema files are named relative to the file."""
     file = Path(path)
+    return parse_config(file.read_text(), lambda name: (file.parent / name).read_text())
+
+
+def parse_config(text: str, read: Callable[[str], str]) -> Config:
+    """``read`` gives the text of a schema file by its name."""
     try:
-        raw = tomllib.loads(file.read_text())
+        raw = tomllib.loads(text)
     except tomllib.TOMLDecodeError as e:
-        raise SchemaError(file.name, str(e)) from e
+        raise SchemaError("", str(e)) from e
     if raw.get("version") != 1:
         raise SchemaError("version", "1 is expected")
     for key in raw:
         if key not in ("version", "schemas", "source", "sink", "sinks", "run"):
             near = difflib.get_close_matches(key, ("version", "schemas", "source", "sinks", "run"), 1)
             raise SchemaError(key, "no such key" + (f"; did you mean `{near[0]}`?" if near else ""))
-    schemas = tuple(load_schema((file.parent / x).read_text(), Path(x).name.split(".")[0]) for x in raw.get("schemas", ()))
+    schemas = tuple(load_schema(read(x), Path(x).name.split(".")[0]) for x in raw.get("schemas", ()))
     if not schemas:
         raise SchemaError("schemas", "at least one is needed")
     source = _read(Source, "source", raw.get("source", {}))

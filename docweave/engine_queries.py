@@ -6,17 +6,15 @@ import datetime
 import decimal
 import enum
 import json
-import tempfile
 import urllib.error
 import urllib.request
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .__main__ import compile_lock, load_lock
-from .config import load_config, maintainer
+from .config import maintainer, parse_config
 from .functions import analysis
 from .operators import clauses as q
 from .operators.dsl import parse
@@ -171,12 +169,9 @@ on_reject = "skip"
 def s13_v11_deployed_config(s: SparkSession, d: str) -> DataFrame:
     """A deployment from its TOML file; the schema has gone through a lock file and back."""
     root = sink_root(s)
-    with tempfile.TemporaryDirectory() as here:  # files of the driver alone
-        Path(here, "events.yml").write_text(EVENT)
-        Path(here, "deploy.toml").write_text(_FILE.format(folder=json.dumps(d), sink=json.dumps(root)))
-        config = load_config(f"{here}/deploy.toml")
-        assert load_lock(compile_lock(list(config.schemas))) == list(config.schemas)
-        m = maintainer(s, config)
+    config = parse_config(_FILE.format(folder=json.dumps(d), sink=json.dumps(root)), {"events.yml": EVENT}.__getitem__)
+    assert load_lock(compile_lock(list(config.schemas))) == list(config.schemas)
+    m = maintainer(s, config)
     m.ensure()
     m.seed()
     return m.sink.read(config.schemas[0]).selectExpr("_id", "kind", "props['k'] AS k")

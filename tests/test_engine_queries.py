@@ -13,7 +13,7 @@ from docweave.config import load_config
 from docweave.operators import clauses as q
 from docweave.operators.search import Index, Search
 from docweave.plans.assemble import LITERAL_KEYS, assemble, build_many
-from docweave.queries import CUSTOMER, _TOTALS, registry, schema
+from docweave.queries import CUSTOMER, EVENT, _TOTALS, registry, schema
 from docweave.schema import SchemaError
 from docweave.sinks.store import Files, JsonSink, ParquetSink
 from docweave.streaming.maintain import Maintainer, TransactionBuffer, live
@@ -182,3 +182,24 @@ def test_not_ready_before_seeding_and_after_an_error(spark):
     finally:
         server.shutdown()
         server.server_close()
+
+
+def test_commands_of_a_deployment(spark, tmp_path, capsys):
+    from docweave.__main__ import main
+
+    (tmp_path / "events.yml").write_text(EVENT)
+    (tmp_path / "deploy.toml").write_text(f'version = 1\nschemas = ["events.yml"]\n[source]\nfolder = "{FOLDER}"\nkeys = {{events = "event_id"}}\n[sink]\npath = "file://{tmp_path}/out"\n')
+    config = str(tmp_path / "deploy.toml")
+
+    def told(*args):
+        assert main(list(args)) == 0
+        return capsys.readouterr().out.split()
+
+    assert told("indexes", config)[::2] == ["events", "not"]
+    assert told("run", config) == []
+    assert told("indexes", config)[::2] == ["events", "seeded"]
+    assert told("reindex", config, "events") == [] and main(["reindex", config, "none"]) == 1
+    assert "class EventsFields(Group):" in " ".join(told("bindings", str(tmp_path / "events.yml")))
+    assert main(["preview", str(tmp_path / "events.yml"), FOLDER, "events=event_id"]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["id"] == 0  # after the diagnostics
+    assert main(["run"]) == 2

@@ -15,9 +15,12 @@ Vectors of one (non-null) label link when their cosine, in double precision, is
      passes' forests are united to components.
   3. Recall is measured: ``sample`` nodes (those of least hash) are compared with all, in
      blocks.  While less than ``recall`` of their links lie inside components, more passes
-     follow with a window several times as wide; a window as wide as the largest label compares all.
-     The sample's own links are united too.
-  4. Inside a component every pair is compared, in blocks of nodes, one task for
+     follow with a window several times as wide.  The sample's own links are united too.  It
+     only tells how long to sort; no link rests on it.
+  4. An exact check follows: the nodes of a label are dealt into blocks of ``BLOCK_BYTES``, and every
+     pair of blocks is compared, a task each.  Links between different components unite
+     them, so none is lost; this work is quadratic in a label's distinct vectors.
+  5. Inside a component every pair is compared, in blocks of nodes, one task for
      each pair of blocks; only counts leave a block.  So a node has all its links
      in its component, however many there are and wherever the sort put them: the
      window bounds the search for components, not the partners.
@@ -43,6 +46,8 @@ from .scratch import Scratch
 BITS, CELLS = 48, 12
 BLOCK = 256
 _CHUNK = 2048
+#: Vectors in a block of the exact check.
+BLOCK_BYTES = 8 << 20
 #: Label means are broadcast up to so many numbers, and joined beyond.
 BROADCAST_MEANS = 1 << 20
 
@@ -246,6 +251,57 @@ def _blocks(threshold: float):
     return run_over
 
 
+def _between(threshold: float):
+    """Over rows sorted by (label, dim, i, j): forests of the links of each pair of blocks that lie between components."""
+
+    def links(rows: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        t = pa.Table.from_batches(rows)
+        node, component, side, i, j = (t.column(c).to_numpy() for c in ("node", "component", "side", "i", "j"))
+        x = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float64).reshape(len(node), -1)
+        left, right = np.flatnonzero(side == i[0]), np.flatnonzero(side == j[0])
+        right_x, out = x[right], []
+        for lo in range(0, len(left), BLOCK):
+            own = left[lo : lo + BLOCK]
+            hit = x[own] @ right_x.T >= threshold
+            a, b = np.nonzero(hit)
+            a, b = own[a], right[b]
+            apart = component[a] != component[b]
+            # one link of two components is as good as all of them
+            out += set(zip(component[a[apart]].tolist(), component[b[apart]].tolist()))
+        return forest(out)
+
+    def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+
+        found: list[tuple[int, int]] = []
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in ("label", "dim", "i", "j"))))
+            lo = 0
+            for hi in range(1, len(keys) + 1):
+                if hi == len(keys) or keys[hi] != keys[lo]:
+                    if keys[lo] != key:
+                        found += links(held) if held else []
+                        held, key = [], keys[lo]
+                    held.append(b.slice(lo, hi - lo))
+                    lo = hi
+        found += links(held) if held else []
+        u, v = zip(*found) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run_over
+
+
+def _check(nodes: DataFrame, scratch: Scratch, parts: int, threshold: float) -> DataFrame:
+    """(u, v): links between the components of (node, label, vector, component), from all pairs of a label."""
+    n = nodes.withColumn("dim", (F.octet_length("vector") / 8).cast("int"))
+    blocks = n.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) * F.col("dim") * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
+    split = n.join(blocks, ["label", "dim"]).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("label", "dim", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "component", "vector")
+    keys = ["label", "dim", "i", "j"]
+    return scratch.stage(split.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_between(threshold), "u long, v long"), "between")
+
+
 def _measure(sample, threshold: float):
     """Over (node, label, vector, component): links with the sampled nodes, how many lie inside components, and those that do not."""
 
@@ -337,18 +393,18 @@ def embedding_components(
         labels = components(found if edges is None else edges.unionByName(found), scratch)
         labels = scratch.stage(labels, "components")
         edges = labels.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
-        if window >= largest:
-            break  # every pair of a label was compared
         placed = nodes.join(labels, nodes["node"] == labels["id"], "left").select("node", "label", "vector", F.coalesce("component", "node").alias("component"))
+        if window >= largest:
+            break  # wider ones find nothing new
         measured = scratch.stage(placed.mapInArrow(_measure(spark.sparkContext.broadcast(_sampled(placed, sample)), threshold), "u long, v long, links long, inside long"), "measured")
         r = measured.agg(F.sum("links"), F.sum("inside")).head()
         share = (r[1] or 0) / r[0] if r[0] else 1.0
         edges = edges.unionByName(measured.where("u is not null").select("u", "v"))
         if share >= recall:
-            if share < 1.0:
-                labels = components(edges, scratch)
             break
         passes, window = 8, window * (4 if share >= 0.9 else 16)
+    edges = scratch.stage(edges.unionByName(_check(placed, scratch, parts, threshold)), "edges")
+    labels = components(edges, scratch)
 
     inside = scratch.stage(nodes.join(labels, nodes["node"] == labels["id"]).select("node", "first_id", "copies", "vector", "component"), "inside")
     size = inside.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("first_id").alias("component_id"))

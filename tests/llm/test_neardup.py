@@ -173,3 +173,15 @@ def test_embeddings_recall_in_several_clouds_and_a_clique(spark, tmp_path):
     parts = [_cloud(rng, 800, 32, 0.95) for _ in range(4)] + [_cloud(rng, 700, 32, 0.995)] + [_cloud(rng, 12, 32, 0.97) for _ in range(20)]
     labels = [0] * 3900 + [1 + i // 12 for i in range(240)]
     assert _recall(spark, tmp_path, np.concatenate(parts), labels, passes=4, window=8, sample=400) >= 0.99
+
+
+def test_embeddings_no_link_rests_on_the_sample(spark, tmp_path, monkeypatch):
+    """One pass, a narrow window and a sample of one node, which tells nothing: the exact check finds every link, over many blocks."""
+    import docweave.llm.neardup as neardup
+
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 100_000)
+    rng = np.random.default_rng(9)
+    x = _cloud(rng, 1500, 32, 0.9)
+    near = x[:300] + 0.02 * rng.standard_normal((300, 32))
+    x = np.concatenate([x, near / np.linalg.norm(near, axis=1, keepdims=True)])
+    assert _recall(spark, tmp_path, x, [i % 2 for i in range(1500)] + [i % 2 for i in range(300)], passes=1, window=1, sample=1) == 1.0

@@ -2,13 +2,13 @@
 
 The model is an interpolated modified Kneser-Ney model of 4-grams of characters, one for each
 language code, whatever their number, counted by Spark over all texts.  A language's alphabet
-is its own: white space, its ``FREQUENT`` most frequent other characters (case
-folded), ``REST`` classes for its other letters and digits, dealt by hash, and one for other
-marks.  So every script has its letters told apart, and a language has at
-most 64**4 grams whatever the corpus.  A model is built where its language's grams meet, kept as
-sorted arrays of gram hashes with the log probabilities beside them, and broadcast with small
+is its own: white space and every other character of its texts (case folded), none of which
+shares a symbol with another; should it have more than ``FREQUENT`` of them, each of
+the rarest is spelled by two symbols that spell nothing else.  So a model grows with the distinct grams of
+its language.  It is built where they meet, kept as
+sorted arrays of grams with the log probabilities beside them, and broadcast with small
 ones packed together; a worker loads those it meets and drops the oldest over ``LOADED_BYTES``.
-A document's distinct grams are looked up by binary search.
+A run's distinct grams are looked up by binary search.
 
 A document's perplexity is per letter or digit: by character, the predictable marks of table
 junk would offset their rarity.  Each language has its band: of log(log perplexity),
@@ -37,9 +37,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from . import text as tx
 from .scratch import Scratch
 
-ORDER, CLASSES = 4, 64
+ORDER, CLASSES = 4, 1 << 15  # symbols, so that a gram is a long
 GRAMS = CLASSES**ORDER
-FREQUENT, REST = 46, 16  # of the 64 classes; the others are white space and the other marks
+FREQUENT, REST = 30_655, 1056  # of the symbols: characters of their own, and each half of a spelled one; the other is white space
 SYMBOLS = b"#*$%&|<>"
 FLUSH = 1 << 22
 #: Models kept in a worker, and those put into one broadcast.
@@ -47,8 +47,8 @@ LOADED_BYTES, PACK_BYTES = 96 << 20, 8 << 20
 BROADCAST_LANGUAGES = 100_000
 
 U64 = np.uint64
-_SPACE, _MARK = 0, CLASSES - 1
-_PLANES = 0x20000
+_SPACE, _SPELLED = 0, CLASSES
+_PLANES = 0x110000
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 
@@ -83,7 +83,7 @@ def characters(run: tx.Run) -> tuple[np.ndarray, np.ndarray]:
         for j in (1, 2, 3):
             more = size > j
             value = np.where(more, (value << np.uint32(6)) | (data[np.minimum(x + j, last)] & 0x3F), value)
-        c[high] = np.where(value < _PLANES, value, 0x4E00 | (value & 0x3FFF))  # rarer ideographs share classes
+        c[high] = np.minimum(value, _PLANES - 1)  # beyond: not UTF-8
     offsets = np.searchsorted(at, run.offsets)
     return fold[c], offsets
 
@@ -93,24 +93,38 @@ def gram_codes(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n, docs = len(symbols), len(offsets) - 1
     pad = ORDER - 1
     place = np.arange(n) + pad * np.repeat(np.arange(1, docs + 1), np.diff(offsets))
-    s = np.full(n + pad * docs, _SPACE, np.int32)
+    s = np.full(n + pad * docs, _SPACE, np.int64)
     s[place] = symbols
     codes = s[place]
     for j in range(1, ORDER):
-        codes += s[place - j] * np.int32(CLASSES**j)
+        codes += s[place - j] * CLASSES**j
     return codes
 
 
-def alphabet(frequent: list[int]) -> np.ndarray:
-    """Class of each folded character, given the language's most frequent ones."""
-    _, letter = _folding()
-    rest = tx.mix(np.arange(_PLANES, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(1)) % U64(REST)
-    out = np.where(letter, 1 + FREQUENT + rest.astype(np.int64), _MARK).astype(np.uint8)
+def alphabet(frequent: np.ndarray) -> np.ndarray:
+    """Symbol of each folded character up to the greatest of the language's most frequent ones; the last entry stands for all beyond."""
+    out = np.full(max(32, int(frequent.max(initial=0))) + 2, _SPELLED, np.uint16)
     out[frequent] = 1 + np.arange(len(frequent))
     out[32] = _SPACE
     return out
 
 
+def spell(c: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of some documents' characters, and where each document begins among them (and the end)."""
+    s = classes[np.minimum(c, len(classes) - 1)]
+    rare = np.flatnonzero(s == _SPELLED)
+    if not len(rare):
+        return s, offsets
+    sizes = np.ones(len(c), np.int64)
+    sizes[rare] = 2
+    at = np.append(0, np.cumsum(sizes))
+    out = np.empty(at[-1], np.uint16)
+    out[at[:-1]] = s
+    out[at[rare]] = 1 + FREQUENT + c[rare] // REST
+    out[at[rare] + 1] = 1 + FREQUENT + REST + c[rare] % REST
+    return out, at[offsets]
+
+
 def _by_language(b: pa.RecordBatch, column: int) -> Iterator[tuple[str | None, pa.RecordBatch]]:
     """The rows of each language, one after the other."""
     codes = b.column(column).dictionary_encode()
@@ -133,31 +147,32 @@ def _count_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     tx.worker_slot("quality", lambda: None)
     for b in batches:
         for lang, part in _by_language(b, 1):
-            if lang not in counts:
-                if len(counts) >= 32:
-                    yield from out()
-                counts[lang] = np.zeros(_PLANES, np.int64)
+            if lang not in counts and sum(map(len, counts.values())) >= 1 << 22:
+                yield from out()
             for run in tx.runs(part.column(0)):
-                counts[lang] += np.bincount(characters(run)[0], minlength=_PLANES)
+                n, seen = np.bincount(characters(run)[0]), counts.get(lang, np.zeros(0, np.int64))
+                n, seen = (n, seen) if len(n) > len(seen) else (seen, n)
+                n[: len(seen)] += seen
+                counts[lang] = n
     yield from out()
 
 
 class _Alphabets(dict):
     """Classes by language, made when first asked for."""
 
-    def __init__(self, frequent: dict[str | None, list[int]]) -> None:
+    def __init__(self, frequent: dict[str | None, np.ndarray]) -> None:
         super().__init__()
         self.frequent = frequent
 
     def __missing__(self, lang: str | None) -> np.ndarray:
         if len(self) >= 64:
             self.clear()
-        out = self[lang] = alphabet(self.frequent.get(lang, []))
+        out = self[lang] = alphabet(self.frequent.get(lang, np.empty(0, np.int32)))
         return out
 
 
 def _count_grams(frequent):
-    schema = pa.schema([("lang", pa.string()), ("gram", pa.int32()), ("n", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tx.worker_slot("quality", lambda: None)
@@ -176,8 +191,8 @@ def _count_grams(frequent):
                 for run in tx.runs(part.column(0)):
                     c, offsets = characters(run)
                     if len(c):
-                        held[lang].append(gram_codes(classes[c], offsets))
-                        sizes[lang] += len(c)
+                        held[lang].append(gram_codes(*spell(c, offsets, classes)))
+                        sizes[lang] += len(held[lang][-1])
                     if sizes[lang] > FLUSH:
                         yield out(lang)
             while sum(sizes.values()) > 2 * FLUSH:
@@ -198,10 +213,6 @@ def _discounts(counts: np.ndarray) -> np.ndarray:
     return np.clip(d, [0, 0.05, 0.05, 0.05], [0, 0.95, 1.95, 2.95])
 
 
-def _hash(codes: np.ndarray, order: int) -> np.ndarray:
-    return tx.mix(codes.astype(U64) * U64(16) + U64(order) + U64(0x9E3779B97F4A7C15))
-
-
 class KneserNey:
     """Interpolated log10 probabilities of seen grams, and log10 back-off weights of seen contexts, by order."""
 
@@ -215,46 +226,38 @@ class KneserNey:
         by_order = [(grams.astype(np.int64), counts.astype(np.float64))]
         for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct longer grams that end so
             by_order.append(tuple(np.unique(by_order[-1][0] % CLASSES**k, return_counts=True)))
-        lower = np.full(1, 1.0 / CLASSES)  # the order below, over all its grams
+        shorter, lower = np.zeros(1, np.int64), np.full(1, 1.0 / CLASSES)  # the order below: it has every end of a gram
         for k, (g, c) in enumerate(reversed(by_order), 1):
             c = c.astype(np.float64)
             d = _discounts(c)[np.minimum(c, 3).astype(int)]
-            context = g // CLASSES
-            used, which = np.unique(context, return_inverse=True)
+            used, which = np.unique(g // CLASSES, return_inverse=True)
             total = np.bincount(which, weights=c)
             freed = np.bincount(which, weights=np.minimum(d, c)) / total
-            below = lower[g % CLASSES ** (k - 1)]
+            below = lower[np.searchsorted(shorter, g % CLASSES ** (k - 1))] if len(g) else np.empty(0)
             p = (c - np.minimum(d, c)) / total[which] + freed[which] * below
-            if k < ORDER:
-                spread = np.ones(CLASSES ** (k - 1))
-                spread[used] = freed
-                grams_k = np.arange(CLASSES**k)
-                lower = spread[grams_k // CLASSES] * lower[grams_k % CLASSES ** (k - 1)]
-                lower[g] = p
-            for codes, values, tables in ((g, np.log10(p), self.tables), (used, np.log10(np.maximum(freed, 1e-9)), self.weights)):
-                h = _hash(codes, k)
-                o = np.argsort(h)
-                tables.append((h[o], values[o].astype(np.float32)))
+            shorter, lower = g, p
+            self.tables.append((g, np.log10(p).astype(np.float32)))
+            self.weights.append((used, np.log10(np.maximum(freed, 1e-9)).astype(np.float32)))
 
     @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _find(table: tuple[np.ndarray, np.ndarray], g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys, values = table
         if not len(keys):
-            return np.zeros(len(h), bool), np.zeros(len(h), np.float32)
-        i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return keys[i] == h, values[i]
+            return np.zeros(len(g), bool), np.zeros(len(g), np.float32)
+        i = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+        return keys[i] == g, values[i]
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         out = np.zeros(len(grams), np.float32)
         todo = np.arange(len(grams))
         for k in range(ORDER, 0, -1):
             g = grams[todo] % CLASSES**k
-            hit, value = self._find(self.tables[k - 1], _hash(g, k))
+            hit, value = self._find(self.tables[k - 1], g)
             out[todo[hit]] += value[hit]
             todo, g = todo[~hit], g[~hit]
             if not len(todo):
                 return out
-            seen, weight = self._find(self.weights[k - 1], _hash(g // CLASSES, k))
+            seen, weight = self._find(self.weights[k - 1], g // CLASSES)
             out[todo] += np.where(seen, weight, 0)
         out[todo] -= np.log10(CLASSES)
         return out
@@ -316,7 +319,7 @@ def base_counts(run: tx.Run) -> dict[str, np.ndarray]:
 
 
 def _build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """One language's model; at most 64**4 grams meet here."""
+    """One language's model; its distinct grams meet here."""
     grams, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
     order = np.argsort(grams)
     model = KneserNey(grams[order], n[order])
@@ -347,35 +350,28 @@ def _score(models: Models, frequent, carried: list[str]):
     """Over rows (doc_id, text, lang, others); the columns ``carried`` come along."""
 
     def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded, scratch = tx.worker_slot("quality", lambda: None) or ({}, np.full(GRAMS, np.nan, np.float32))
+        tx.worker_slot("quality", lambda: None)
+        loaded: dict[str | None, KneserNey] = {}
         alphabets = _Alphabets(frequent.value)
         _, letter = _folding()
         for b in batches:
             for lang, rows in _by_language(b, 2):
                 model, classes = models.of(lang, loaded), alphabets[lang]
-                filled: list[np.ndarray] = []
                 for run in tx.runs(rows.column(1)):
                     stats = base_counts(run)
                     c, offsets = characters(run)
-                    codes = gram_codes(classes[c], offsets)
-                    price = scratch[codes]
-                    new = np.isnan(price)
-                    if new.any():
-                        used = np.unique(codes[new])
-                        scratch[used] = model.log10(used)
-                        filled.append(used)
-                        price = scratch[codes]
+                    symbols, at = spell(c, offsets, classes)
+                    used, which = np.unique(gram_codes(symbols, at), return_inverse=True)
+                    price = model.log10(used)[which]
                     sums = np.zeros(len(price) + 1)
                     np.cumsum(price, out=sums[1:])
                     letters = np.zeros(len(c) + 1, np.int64)
                     np.cumsum(letter[c], out=letters[1:])
                     size = np.diff(offsets)
-                    cost = -np.diff(sums[offsets]) / np.maximum(np.diff(letters[offsets]), 1)
+                    cost = -np.diff(sums[at]) / np.maximum(np.diff(letters[offsets]), 1)
                     part = rows.slice(run.first, len(run))
                     columns = [part.column(0), part.column(2), *(pa.array(x.astype(np.int64)) for x in stats.values()), pa.array(cost, mask=size == 0), *(part.column(x) for x in carried)]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", *stats, "loss", *carried])
-                for used in filled:
-                    scratch[used] = np.nan
 
     return run_over
 
@@ -385,11 +381,11 @@ def language_models(spark: SparkSession, docs: DataFrame, scratch: Scratch):
     sc = spark.sparkContext
     seen = docs.select("text", "lang").mapInArrow(_count_characters, "lang string, c int, n long").groupBy("lang", "c").agg(F.sum("n").alias("n")).where("c <> 32")
     top = seen.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "c"))).where(F.col("rank") <= FREQUENT)
-    frequent: dict[str | None, list[int]] = {}
-    for r in top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "c"))).alias("cs")).collect():  # at most 46 numbers a language
-        frequent[r["lang"]] = [x["c"] for x in r["cs"]]
+    frequent: dict[str | None, np.ndarray] = {}
+    for r in top.groupBy("lang").agg(F.collect_list("c").alias("cs")).toLocalIterator():  # a language's alphabet
+        frequent[r["lang"]] = np.sort(np.array(r["cs"], np.int32))
     frequent_of = sc.broadcast(frequent)
-    grams = docs.select("text", "lang").mapInArrow(_count_grams(frequent_of), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = docs.select("text", "lang").mapInArrow(_count_grams(frequent_of), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     built = scratch.stage(grams.groupBy("lang").applyInArrow(_build, "lang string, size long, model binary"), "models")
     packs, where, pack, size = [], {}, {}, 0
     for r in built.toLocalIterator():  # the driver holds a pack at a time

@@ -163,6 +163,30 @@ def test_quality_equals_brute_force(spark):
         assert (r["perplexity"] is None) if perplexity is None else r["perplexity"] == pytest.approx(perplexity, rel=1e-3), (r, perplexity)
 
 
+def test_quality_no_two_characters_share_a_symbol(spark):
+    """Texts that differ only in a rare mark or a rare letter of a language with 200 letters."""
+    r = random.Random(4)
+    words = ["".join(chr(0x4E00 + r.randrange(200)) for _ in range(3)) for _ in range(120)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(80)), "zh", "s", 1) for i in range(40)]
+    rows += [(100 + i, f"{rows[0][1]} {c}", "zh", "s", 1) for i, c in enumerate("\u00a7\u00a7\u00b6")]
+    rows += [(200 + i, f"{rows[0][1]} {chr(0x5000 + i // 2)}", "zh", "s", 1) for i in range(1, 60)]  # each letter twice but the first
+    got = {x["doc_id"]: x["perplexity"] for x in quality_rules(spark, frame(spark, rows)).collect()}
+    assert got[100] == pytest.approx(got[101], rel=1e-9) and got[100] != pytest.approx(got[102], rel=1e-6)
+    assert all(got[201] != pytest.approx(got[i], rel=1e-6) for i in range(202, 260))
+
+
+def test_quality_alphabets_over_the_limit_are_spelled(monkeypatch):
+    import docweave.llm.quality as quality
+
+    monkeypatch.setattr(quality, "FREQUENT", 4)
+    c = np.array([97, 98, 0x4E00, 32, 0x10FFFF, 0x24B62, 97, 0x4F62, 200], np.uint32)
+    symbols, offsets = quality.spell(c, np.array([0, 3, 3, 9]), quality.alphabet(np.array([97, 98, 99, 100])))
+    assert offsets.tolist() == [0, 4, 4, 14]
+    pair = [[5 + x // REST, 5 + REST + x % REST] for x in c.tolist()]
+    assert symbols.tolist() == [1, 2, *pair[2], 0, *pair[4], *pair[5], 1, *pair[7], *pair[8]]
+    assert symbols.max() < CLASSES and 2 * REST + FREQUENT + 1 <= CLASSES and REST**2 >= 0x110000
+
+
 def test_quality_noise_in_other_scripts_goes(spark):
     rows = [(1000 * k + i, _script_words(lang, i, 120, i >= 40), lang, "s", 1) for k, lang in enumerate(SCRIPTS) for i in range(43)]
     for r in quality_rules(spark, frame(spark, rows)).collect():

@@ -9,18 +9,23 @@ with the training count c, N tokens, V distinct ones and the discount d; P_bits
 spells the token's bytes and a closing space, bit by bit (the end is one newline
 byte), so every byte string has a probability and they sum to one.  There is one
 expert e for each of the ``experts`` most frequent languages of the training
-documents and one for the rest.  A document's probability is the Bayes mixture of
+documents and one for the rest.  One more expert mixes whole documents: it spells the
+tokens with single spaces between them bit by bit, every one where it stands, with contexts that cross words.
+A document's probability is the Bayes mixture of
 all experts and P, so their weights adapt as the document goes on; its own
 language column is not looked at.
 
 P_bits mixes hashed-context bit predictors: the last 1, 2, 3 and 4 bytes of the
-word and its whole prefix.  Each is a table of bit counts, sized by the training vocabulary:
+word and its whole prefix.  The mixer of documents has its own: the last 1 to 4 bytes of the document, and
+the word before with the prefix of this one, over all training texts.
+Each is a table of bit counts, sized by the training vocabulary (for documents by
+training bytes over ``BYTES_PER_SLOT``):
 2**17 slots for one byte, up to the next power of two over the number of distinct words for the
 longest contexts (2**19 to 2**``max_table_bits`` slots, the bound of what is broadcast).  Their
 logits are combined by weights that two gates select (the bits of the byte so
 far; the longest context seen, and the place in the word), summed in the logistic
 domain.  The weights learn online, over a stream of the training words dealt by
-hash, each word predicted from counts without itself.  An adaptive probability
+hash, each word predicted from counts without itself (documents: each bit), in pieces of ``PIECE_BYTES`` with the words before as context.  An adaptive probability
 map, indexed by gate and quantised logit, refines what the mixer says.
 
 Distribution.  Word counts are reduced by Spark.  All the bit counts of all
@@ -59,6 +64,8 @@ LOCAL_WORDS = 20_000
 SLICE_TOKENS = 1 << 17
 END = b"\n"
 BATCH = 1 << 14
+#: Bytes of documents that are mixed at a time, and so many training bytes for a slot of the longest contexts of documents.
+PIECE_BYTES, BYTES_PER_SLOT = 40_000, 128
 
 U64 = np.uint64
 _K = len(ORDERS)
@@ -100,8 +107,8 @@ class _Near(dict):
 
 #: A place is a long: 24 bits of scan task, 14 of its chunk, one that tells documents from words, 24 of the word in the chunk.
 _AT, _CHUNK = 24, 14
-#: What stands before a document's word places: whether held out, whether it has an id, the id, its bytes.
-_HEADER = "<??qq"
+#: What stands before a document's word places: whether held out, whether it has an id, the id, its bytes, its log10 probability by the mixer of documents.
+_HEADER = "<??qqd"
 _HEADER_SIZE = struct.calcsize(_HEADER)
 
 
@@ -115,7 +122,49 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return x[0] | x[1] << 8 | x[2] << 16
 
 
-def _scan(experts):
+def _pieces(text: bytes) -> Iterator[tuple[bytes, int]]:
+    """A document's tokens as the mixer spells them, some words at a time, and how many bytes at the front only give context."""
+    whole = b" ".join(_tokens(text))
+    lo = 0
+    while lo < len(whole):
+        hi = whole.find(b" ", lo + PIECE_BYTES) + 1 or len(whole)
+        # the word before, and more words until the longest context of bytes is there
+        first = lo
+        while first and (first == lo or lo - first <= max(ORDERS)):
+            first = whole.rfind(b" ", 0, first - 1) + 1
+        yield whole[first:hi], lo - first
+        lo = hi
+
+
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece, context) of documents."""
+    for b in batches:
+        for run in tx.runs(b.column(0)):
+            pieces = [p for i in range(len(run)) for p in _pieces(run.bytes_of(i).tobytes())]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pieces], pa.binary()), pa.array([k for _, k in pieces], pa.int32())], names=["piece", "context"])
+
+
+def _price_documents(mixer: Mixer, tables: Tables, texts: list[bytes]) -> np.ndarray:
+    """log10 probability of each document, bit by bit over all of it."""
+    out, held, size = np.zeros(len(texts)), [], 0
+
+    def add() -> None:
+        owner, words, skip = zip(*held)
+        np.add.at(out, list(owner), mixer.log10(tables, list(words), list(skip)))
+
+    for i, text in enumerate(texts):
+        for piece, context in _pieces(text):
+            held.append((i, piece, context))
+            size += len(piece)
+            if size > PIECE_BYTES:
+                add()
+                held, size = [], 0
+    if held:
+        add()
+    return out
+
+
+def _scan(experts, tables_of, mixer_of):
     """Documents as places in their chunk's list of words, and every chunk's words with their training counts by expert."""
     n_experts = len(experts) + 1
     names = ["place", "doc", "word", *(f"n{e}" for e in range(n_experts))]
@@ -162,7 +211,8 @@ def _scan(experts):
                     seen, times = np.unique(np.concatenate(x), return_counts=True)
                     counts[e][seen] += times
                 sizes = np.diff(run.offsets).tolist()
-                docs = [struct.pack(_HEADER, held[i], doc_ids[i] is not None, doc_ids[i] or 0, k) + _packed(x, compress) for i, (x, k) in enumerate(zip(ids, sizes), run.first)]
+                mixed = _price_documents(mixer_of.value, tables_of.value, [run.bytes_of(i).tobytes() for i in range(n)]).tolist()
+                docs = [struct.pack(_HEADER, held[i], doc_ids[i] is not None, doc_ids[i] or 0, k, m) + _packed(x, compress) for i, (x, k, m) in enumerate(zip(ids, sizes, mixed), run.first)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, (chunk << 1 | 1) << _AT)), pa.array(docs, pa.binary()), *(pa.nulls(n, t) for t in types[2:])], schema=schema)
                 size += len(run.data)
                 if size > CHUNK_BYTES:
@@ -175,16 +225,26 @@ def _scan(experts):
 
 
 class Bits:
-    """The bit decisions of some words: one row a bit, one column a predictor with a table of 2**bits slots."""
+    """The bit decisions of some words or pieces of documents: one row a bit, one column a predictor with a table of 2**bits slots.
+
+    The first ``skip`` bytes of each only give context.
+    """
 
-    def __init__(self, words: list[bytes], bits: tuple[int, ...]) -> None:
-        spelled = [w if w == END else w + b" " for w in words]
+    def __init__(self, words: list[bytes], bits: tuple[int, ...], skip: list[int] | None = None) -> None:
+        # pieces of documents bring their spaces along
+        spelled = [w if skip is not None or w == END else w + b" " for w in words]
         sizes = np.array([len(s) for s in spelled])
         data = np.frombuffer(b"".join(spelled), np.uint8)
         n = len(data)
         first = np.repeat(np.cumsum(sizes) - sizes, sizes)
         place = np.arange(n) - first
         back = [np.where(place >= k, data[np.maximum(np.arange(n) - k, 0)], 0).astype(U64) for k in (1, 2, 3, 4)]
+        # the previous word and what there is of this one; in the first word of all, this one alone
+        fresh = np.zeros(n, np.int64)
+        after = np.flatnonzero((data[:-1] == 32) & (place[1:] > 0)) + 1
+        fresh[after] = after
+        word_first = np.maximum(np.maximum.accumulate(fresh), first)
+        two_first = np.maximum(np.where(word_first > 0, word_first[np.maximum(word_first - 1, 0)], 0), first)
         sums = tx.prefix_hashes(data, tx.BYTE)
         packed, context, have = np.zeros(n, U64), [], 0
         for k, order in enumerate(ORDERS):
@@ -194,7 +254,7 @@ class Bits:
                 have = order
                 context.append(tx.mix(packed * U64(8) + U64(k)))
             else:
-                context.append(tx.span_hashes(sums, first, np.arange(n)))
+                context.append(tx.span_hashes(sums, two_first, np.arange(n)))
         shift = np.arange(7, -1, -1)
         whole = data[:, None].astype(np.int64) | 256
         node = (whole >> (shift + 1)[None, :]).ravel()
@@ -202,8 +262,11 @@ class Bits:
         self.node = node
         step = node.astype(U64) * U64(0x9E3779B97F4A7C15)
         self.slots = [((((np.repeat(c, 8) ^ step) * U64(0xD6E8FEB86659FD93)) >> U64(64 - n)).astype(np.int64)) for c, n in zip(context, bits)]
-        self.place = np.repeat(np.minimum(place, 3), 8)
+        self.place = np.repeat(np.minimum(np.arange(n) - word_first, 3), 8)
         self.word = np.repeat(np.repeat(np.arange(len(words)), sizes), 8)
+        if skip is not None and any(skip):
+            own = np.repeat(place >= np.repeat(np.array(skip), sizes), 8)
+            self.bit, self.node, self.place, self.word, self.slots = self.bit[own], self.node[own], self.place[own], self.word[own], [x[own] for x in self.slots]
 
     def __len__(self) -> int:
         return len(self.bit)
@@ -222,7 +285,7 @@ def _word_runs(batches: Iterator[pa.RecordBatch], column: int = 0, most: int = 1
                 size += lengths[hi]
 
 
-def _count_bits(bits: tuple[int, ...]):
+def _count_bits(bits: tuple[int, ...], documents: bool = False):
     """(block, counts): the slots that were met in each block of each table, as sorted places and their counts.
 
     A table's slots alternate: times 0, times 1.  Blocks are numbered over all tables.
@@ -232,8 +295,8 @@ def _count_bits(bits: tuple[int, ...]):
     def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.zeros(2 << n, np.float32) for n in bits]
         some = False
-        for words, _ in _word_runs(batches):
-            rows = Bits(words, bits)
+        for words, part in _word_runs(batches):
+            rows = Bits(words, bits, part.column(1).to_pylist() if documents else None)
             some = True
             for k in range(_K):
                 # few of the slots are touched at a time
@@ -372,20 +435,20 @@ class Mixer:
                     w[k] += (rate * np.bincount(g, weights=steps[k], minlength=w.shape[1]) / n).astype(np.float32)
         self.seen += len(bit)
 
-    def log10(self, tables: Tables, words: list[bytes]) -> np.ndarray:
-        bits = Bits(words, tables.bits)
+    def log10(self, tables: Tables, words: list[bytes], skip: list[int] | None = None) -> np.ndarray:
+        bits = Bits(words, tables.bits, skip)
         x, gates = tables.price_inputs(bits)
         p = self.refine(self.mix(x, gates), gates[1])
         return np.bincount(bits.word, weights=np.log10(np.where(bits.bit == 1, p, 1 - p)), minlength=len(words))
 
 
-def _train(tables_of):
+def _train(tables_of, documents: bool = False):
     def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
 
         mixer, tables = Mixer(), tables_of.value
-        for words, _ in _word_runs(batches):
-            bits = Bits(words, tables.bits)
+        for words, part in _word_runs(batches):
+            bits = Bits(words, tables.bits, part.column(1).to_pylist() if documents else None)
             mixer.learn(*tables.learn_inputs(bits), bits.bit)
         if mixer.seen:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((mixer.weights, mixer.hits, mixer.ones, mixer.seen, False))], pa.binary())], names=["mixer"])
@@ -489,12 +552,12 @@ def _sum_up(everything: Level, levels: list[Level], log_priors: np.ndarray):
     log_escapes = np.log10([level.escape for level in levels])
 
     def scores(docs: list[bytes], count: np.ndarray, price: np.ndarray, log_base: np.ndarray, decompress) -> pa.RecordBatch:
-        held, has_id, doc_id, n_bytes = zip(*(struct.unpack_from(_HEADER, x) for x in docs))
+        held, has_id, doc_id, n_bytes, mixed = zip(*(struct.unpack_from(_HEADER, x) for x in docs))
         ids = [_unpacked(decompress(x[_HEADER_SIZE:])) for x in docs]
         n = np.array([len(x) for x in ids])
         at = np.concatenate(ids)  # every document has its end at least
         first = np.cumsum(n) - n
-        each = log_priors + np.add.reduceat(price[at], first, 0, np.float64)
+        each = log_priors + np.column_stack([np.add.reduceat(price[at], first, 0, np.float64), mixed])
         top = each.max(1)
         score = top + np.log10(np.power(10.0, each - top[:, None]).sum(1))
         known, base = np.add.reduceat((count[at] > 0).astype(np.int64), first), np.add.reduceat(log_base[at], first)
@@ -531,6 +594,21 @@ def _sum_up(everything: Level, levels: list[Level], log_priors: np.ndarray):
     return run_over
 
 
+def _learned(spark: SparkSession, rows: DataFrame, bits: tuple[int, ...], tasks: int, documents: bool):
+    """Broadcast tables and mixer of some words, or of pieces of documents."""
+    sc = spark.sparkContext
+    met = rows.mapInArrow(_count_bits(bits, documents), "block int, counts binary")
+    if tasks > GROUP_TASKS:  # two levels, so that no group has a row of every task
+        met = met.withColumn("some", F.spark_partition_id() % GROUP_TASKS).groupBy("some", "block").applyInArrow(_add, "block int, counts binary")
+    met = met.groupBy("block").applyInArrow(_add, "block int, counts binary")
+    tables = np.zeros(sum(2 << n for n in bits), np.float32)
+    for r in met.toLocalIterator():  # bounded by the tables
+        tables[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = _spread(bytes(r["counts"]))
+    tables_of = sc.broadcast(Tables(bits, np.split(tables, np.cumsum([2 << n for n in bits])[:-1])))
+    mixers = rows.mapInArrow(_train(tables_of, documents), "mixer binary").withColumn("some", F.spark_partition_id() % GROUP_TASKS).groupBy("some").applyInArrow(_add_mixers, "mixer binary")
+    return tables_of, sc.broadcast(_average([bytes(r["mixer"]) for r in mixers.collect()]))  # at most GROUP_TASKS small rows
+
+
 def mixing_scores(spark: SparkSession, docs: DataFrame, folds: int = 10, experts: int = 8, max_table_bits: int = MAX_TABLE_BITS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), a row for each row of ``docs``."""
     scratch = Scratch(spark, "scoring")
@@ -539,7 +617,10 @@ def mixing_scores(spark: SparkSession, docs: DataFrame, folds: int = 10, experts
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).select("doc_id", held_out.alias("held_out"), "text", "lang")
     by_lang = docs.where(~F.col("held_out")).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(experts).collect()
     known = {r["lang"]: e for e, r in enumerate(by_lang)}
-    scan, schema = _scan(known)
+    train = docs.where(~F.col("held_out")).select("text")
+    size = train.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    pieces = train.mapInArrow(_spelled, "piece binary, context int")
+    scan, schema = _scan(known, *_learned(spark, pieces, table_bits(size // BYTES_PER_SLOT, max_table_bits), -(-size // (PIECE_BYTES * 64)), True))
     scanned = scratch.stage(docs.mapInArrow(scan, schema), "scan")
     own = [f"n{e}" for e in range(len(known) + 1)]
     wanted = scanned.where("word is not null")
@@ -548,24 +629,15 @@ def mixing_scores(spark: SparkSession, docs: DataFrame, folds: int = 10, experts
     facts = [f(c) for c in (total, *(F.col(x) for x in own)) for f in (F.sum, lambda c: F.count(F.when(c > 0, 1)), lambda c: F.count(F.when(c == 1, 1)), lambda c: F.count(F.when(c == 2, 1)))]
     row = vocabulary.agg(*(f.alias(f"f{i}") for i, f in enumerate(facts))).head()
     everything, *levels = (Level(*row[i : i + 4]) for i in range(0, len(row), 4))
-    # half a document's worth of trust in each expert, the shared model among them
-    shares = np.array([r["n"] for r in by_lang] + [0.0, 0.0]) + 0.5
+    # half a document's worth of trust in each expert, the shared model among them; less in the mixer of documents, which
+    # costs a text three digits and leaves short ones at what their counts say
+    shares = np.append(np.array([r["n"] for r in by_lang] + [0.0, 0.0]) + 0.5, 0.001)
     log_priors = np.log10(shares / shares.sum())
 
     words = vocabulary.where(total > 0).select("word")
     tasks = max(1, -(-everything.distinct // WORDS_PER_TASK))
-    bits = table_bits(everything.distinct, max_table_bits)
-    met = words.mapInArrow(_count_bits(bits), "block int, counts binary")
-    if tasks > GROUP_TASKS:  # two levels, so that no group has a row of every task
-        met = met.withColumn("some", F.spark_partition_id() % GROUP_TASKS).groupBy("some", "block").applyInArrow(_add, "block int, counts binary")
-    met = met.groupBy("block").applyInArrow(_add, "block int, counts binary")
-    tables = np.zeros(sum(2 << n for n in bits), np.float32)
-    for r in met.toLocalIterator():  # bounded by the tables
-        tables[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = _spread(bytes(r["counts"]))
-    tables_of = sc.broadcast(Tables(bits, np.split(tables, np.cumsum([2 << n for n in bits])[:-1])))
     # the vocabulary was dealt by hash when its counts were added up: its files are streams of words in no order of their own
-    mixers = words.mapInArrow(_train(tables_of), "mixer binary").withColumn("some", F.spark_partition_id() % GROUP_TASKS).groupBy("some").applyInArrow(_add_mixers, "mixer binary")
-    mixer_of = sc.broadcast(_average([bytes(r["mixer"]) for r in mixers.collect()]))  # at most GROUP_TASKS small rows
+    tables_of, mixer_of = _learned(spark, words, table_bits(everything.distinct, max_table_bits), tasks, False)
     priced = vocabulary.mapInArrow(_price(tables_of, mixer_of, everything, levels), "word binary, prices binary")
 
     asked = wanted.select("place", "word").hint("shuffle_merge").join(priced, "word").select("place", F.col("prices").alias("value"))

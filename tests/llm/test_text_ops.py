@@ -455,6 +455,33 @@ def test_scoring_equals_its_definitions(spark):
     assert len(bits) == 8 * sum(len(w) + (w != b"\n") for w in words)
 
 
+def test_scoring_contexts_cross_words(spark):
+    """The same words in an order that was learned are likelier than in another."""
+    r = random.Random(5)
+    pairs = [(f"a{i}x", f"b{i}y") for i in range(30)]
+    rows = [(i, " ".join(w for _ in range(40) for w in r.choice(pairs)), "en", "s", 1) for i in range(120)]
+    text = " ".join(w for p in pairs for w in p)
+    other = " ".join(w for i in range(30) for w in (pairs[i][0], pairs[(i + 7) % 30][1]))
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    got = {x["doc_id"]: x["score"] for x in mixing_scores(spark, frame(spark, [*rows, (held[0], text, "en", "s", 1), (held[1], other, "en", "s", 1)])).collect()}
+    assert got[held[0]] > got[held[1]] + 3
+
+
+def test_scoring_pieces_change_nothing(monkeypatch):
+    """A document in pieces has the bits and slots of the whole."""
+    import docweave.llm.scoring as scoring
+
+    text = (prose(3, 40) + " a b  c " + prose(4, 40)).encode()
+    bits = table_bits(1000)
+    whole = Bits([b" ".join(scoring._tokens(text))], bits, [0])
+    monkeypatch.setattr(scoring, "PIECE_BYTES", 7)
+    pieces, skip = zip(*scoring._pieces(text))
+    assert len(pieces) > 20
+    parts = Bits(list(pieces), bits, list(skip))
+    assert parts.bit.tolist() == whole.bit.tolist() and parts.place.tolist() == whole.place.tolist()
+    assert all(a.tolist() == b.tolist() for a, b in zip(parts.slots, whole.slots))
+
+
 def _toxic_rows(n):
     return [(i, prose(i, 120) + (" vilenessword rottenone" if i % 4 == 0 else "") + " " + prose(9000 + i, 60), "en", "s", 1) for i in range(n)]
 

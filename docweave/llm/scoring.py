@@ -28,9 +28,12 @@ domain.  The weights learn online, over a stream of the training words dealt by
 hash, each word predicted from counts without itself (documents: each bit), in pieces of ``PIECE_BYTES`` with the words before as context.  An adaptive probability
 map, indexed by gate and quantised logit, refines what the mixer says.
 
+What depends only on the last bytes, the place and the byte itself is worked out once for all such bytes of a run;
+the longest context is looked up for each.
+
 Distribution.  Word counts are reduced by Spark.  All the bit counts of all
 training words go into the tables, summed over tasks; mixers learn in one stream
-a task and are averaged.  Tables and mixers are broadcast.
+a task and are averaged.  Tables and mixers are broadcast, compressed, as they lie on every executor's disk.
 Each distinct word is priced once, whatever its count; prices travel to
 the chunk of documents that asked for them, a task of its own, and are added up there by the
 places of the documents' words in the chunk's list, so texts are read and cut into words once
@@ -59,13 +62,16 @@ ORDER_BITS = {1: 17, 2: 19, 3: 21}
 LEAST_BITS, MAX_TABLE_BITS = 19, 24
 CHUNK_BYTES = 48 << 20
 MAX_TASKS, GROUP_TASKS = 50_000, 64
-WORDS_PER_TASK = 300_000
 LOCAL_WORDS = 20_000
 SLICE_TOKENS = 1 << 17
 END = b"\n"
 BATCH = 1 << 14
-#: Bytes of documents that are mixed at a time, and so many training bytes for a slot of the longest contexts of documents.
+#: Bytes of documents in a piece, and so many training bytes for a slot of the longest contexts of documents.
 PIECE_BYTES, BYTES_PER_SLOT = 40_000, 128
+#: Bytes that are spelled at a time, whose equal contexts are found together, and those whose bits are mixed at a time.
+RUN_BYTES, STEP_BYTES = 1 << 18, 1 << 12
+#: Bytes that a task counts bits of at least, so that there are few rows of every block to add up.
+COUNT_BYTES = 256 << 20
 
 U64 = np.uint64
 _K = len(ORDERS)
@@ -136,31 +142,35 @@ def _pieces(text: bytes) -> Iterator[tuple[bytes, int]]:
         lo = hi
 
 
-def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(piece, context) of documents."""
-    for b in batches:
-        for run in tx.runs(b.column(0)):
-            pieces = [p for i in range(len(run)) for p in _pieces(run.bytes_of(i).tobytes())]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pieces], pa.binary()), pa.array([k for _, k in pieces], pa.int32())], names=["piece", "context"])
-
-
-def _price_documents(mixer: Mixer, tables: Tables, texts: list[bytes]) -> np.ndarray:
-    """log10 probability of each document, bit by bit over all of it."""
-    out, held, size = np.zeros(len(texts)), [], 0
-
-    def add() -> None:
-        owner, words, skip = zip(*held)
-        np.add.at(out, list(owner), mixer.log10(tables, list(words), list(skip)))
-
+def _piece_runs(texts: Iterator[bytes]) -> Iterator[tuple[list[int], list[bytes], list[int]]]:
+    """(owners, pieces, context bytes) of documents, about ``RUN_BYTES`` at a time."""
+    held, size = [], 0
     for i, text in enumerate(texts):
         for piece, context in _pieces(text):
             held.append((i, piece, context))
             size += len(piece)
-            if size > PIECE_BYTES:
-                add()
+            if size > RUN_BYTES:
+                yield tuple(map(list, zip(*held)))
                 held, size = [], 0
     if held:
-        add()
+        yield tuple(map(list, zip(*held)))
+
+
+def _spelled(batches: Iterator[pa.RecordBatch], documents: bool) -> Iterator[tuple[list[bytes], list[int] | None]]:
+    """(words, none) of a column of words, or (pieces, context bytes) of one of texts."""
+    if not documents:
+        yield from ((words, None) for words, _ in _word_runs(batches))
+        return
+    for b in batches:
+        for run in tx.runs(b.column(0)):
+            yield from (found[1:] for found in _piece_runs(run.bytes_of(i).tobytes() for i in range(len(run))))
+
+
+def _price_documents(mixer: Mixer, tables: Tables, texts: list[bytes]) -> np.ndarray:
+    """log10 probability of each document, bit by bit over all of it."""
+    out = np.zeros(len(texts))
+    for owner, pieces, context in _piece_runs(iter(texts)):
+        np.add.at(out, owner, mixer.log10(tables, pieces, context))
     return out
 
 
@@ -224,10 +234,27 @@ def _scan(experts, tables_of, mixer_of):
     return run_over, ", ".join(f"{n} {_SQL[str(t)]}" for n, t in zip(names, types))
 
 
+_BYTE = np.arange(256)[:, None]
+_SHIFT = np.arange(7, -1, -1)[None, :]
+#: Of each byte, by bit: the bit, the node that it is decided at (the bits before it), what the node adds to a context.
+BIT = (_BYTE >> _SHIFT) & 1
+NODE = (_BYTE | 256) >> (_SHIFT + 1)
+_STEP = NODE.astype(U64) * U64(0x9E3779B97F4A7C15)
+_BIT = BIT.astype(np.float32)
+_SIGN = 2 * _BIT - 1
+_PLACE_BITS = 22
+
+
+def _rows(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows (of a flat table, values) by places that all lie inside: without the check, in half the time."""
+    return table.take(at, 0, mode="clip")
+
+
 class Bits:
-    """The bit decisions of some words or pieces of documents: one row a bit, one column a predictor with a table of 2**bits slots.
+    """The bit decisions of some words or pieces of documents, eight a byte, in tables of 2**bits slots.
 
-    The first ``skip`` bytes of each only give context.
+    The first ``skip`` bytes of each only give context.  Contexts of the last bytes are few: what
+    depends on them alone is worked out once for all bytes that are the ``same``.
     """
 
     def __init__(self, words: list[bytes], bits: tuple[int, ...], skip: list[int] | None = None) -> None:
@@ -237,46 +264,84 @@ class Bits:
         data = np.frombuffer(b"".join(spelled), np.uint8)
         n = len(data)
         first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        place = np.arange(n) - first
-        back = [np.where(place >= k, data[np.maximum(np.arange(n) - k, 0)], 0).astype(U64) for k in (1, 2, 3, 4)]
+        at = np.arange(n)
+        place = at - first
+        last = np.zeros(n, U64)
+        for k in range(1, max(ORDERS) + 1):
+            last[k:] |= np.where(place[k:] >= k, data[:-k], 0).astype(U64) << U64(8 * (k - 1))
         # the previous word and what there is of this one; in the first word of all, this one alone
         fresh = np.zeros(n, np.int64)
         after = np.flatnonzero((data[:-1] == 32) & (place[1:] > 0)) + 1
         fresh[after] = after
         word_first = np.maximum(np.maximum.accumulate(fresh), first)
         two_first = np.maximum(np.where(word_first > 0, word_first[np.maximum(word_first - 1, 0)], 0), first)
-        sums = tx.prefix_hashes(data, tx.BYTE)
-        packed, context, have = np.zeros(n, U64), [], 0
-        for k, order in enumerate(ORDERS):
-            if order:
-                for j in range(have, order):
-                    packed = packed | (back[j] << U64(8 * j))
-                have = order
-                context.append(tx.mix(packed * U64(8) + U64(k)))
-            else:
-                context.append(tx.span_hashes(sums, two_first, np.arange(n)))
-        shift = np.arange(7, -1, -1)
-        whole = data[:, None].astype(np.int64) | 256
-        node = (whole >> (shift + 1)[None, :]).ravel()
-        self.bit = ((whole >> shift[None, :]) & 1).ravel()
-        self.node = node
-        step = node.astype(U64) * U64(0x9E3779B97F4A7C15)
-        self.slots = [((((np.repeat(c, 8) ^ step) * U64(0xD6E8FEB86659FD93)) >> U64(64 - n)).astype(np.int64)) for c, n in zip(context, bits)]
-        self.place = np.repeat(np.minimum(np.arange(n) - word_first, 3), 8)
-        self.word = np.repeat(np.repeat(np.arange(len(words)), sizes), 8)
+        whole = tx.span_hashes(tx.prefix_hashes(data, tx.BYTE), two_first, at)
+        self.bits, self.byte, self.last, self.whole = bits, data, last, whole
+        self.places = np.minimum(at - word_first, 3)
+        self.word = np.repeat(np.arange(len(words)), sizes)
         if skip is not None and any(skip):
-            own = np.repeat(place >= np.repeat(np.array(skip), sizes), 8)
-            self.bit, self.node, self.place, self.word, self.slots = self.bit[own], self.node[own], self.place[own], self.word[own], [x[own] for x in self.slots]
+            own = place >= np.repeat(np.array(skip), sizes)
+            self.byte, self.last, self.whole, self.places, self.word = (x[own] for x in (self.byte, self.last, self.whole, self.places, self.word))
 
     def __len__(self) -> int:
-        return len(self.bit)
-
-
-def _word_runs(batches: Iterator[pa.RecordBatch], column: int = 0, most: int = 1500) -> Iterator[tuple[list[bytes], pa.RecordBatch]]:
+        return 8 * len(self.byte)
+
+    def slots_of(self, k: int, at: slice | np.ndarray = slice(None)) -> np.ndarray:
+        """The slots of some bytes in table k, eight in a row."""
+        order = ORDERS[k]
+        context = tx.mix((self.last[at] & U64((1 << 8 * order) - 1)) * U64(8) + U64(k)) if order else self.whole[at]
+        slots = _rows(_STEP, self.byte[at])
+        slots ^= context[:, None]
+        slots *= U64(0xD6E8FEB86659FD93)
+        slots >>= U64(64 - self.bits[k])
+        return slots.view(np.int64)
+
+    def entries_of(self, k: int, at: slice | np.ndarray = slice(None)) -> np.ndarray:
+        """Where the bits that came are counted: a slot has an entry for 0 and one for 1."""
+        entries = self.slots_of(k, at)
+        entries *= 2
+        entries += _rows(BIT, self.byte[at])
+        return entries
+
+    def same(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes with equal last bytes before them and equal places: the first of each kind, each byte's kind, how many of each."""
+        n = len(self.byte)
+        key = self.last << U64(10) | (self.places << 8 | self.byte).astype(U64)
+        if n >> _PLACE_BITS:
+            _, first, kind, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            return first, kind, times
+        key = np.sort(key << U64(_PLACE_BITS) | np.arange(n, dtype=U64))  # faster than sorting indices
+        at = (key & U64((1 << _PLACE_BITS) - 1)).view(np.int64)
+        key >>= U64(_PLACE_BITS)
+        new = np.ones(n, bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        kind = np.empty(n, np.int64)
+        kind[at] = np.cumsum(new) - 1
+        starts = np.flatnonzero(new)
+        return at[starts], kind, np.diff(starts, append=n)
+
+    @property
+    def bit(self) -> np.ndarray:
+        return BIT[self.byte].ravel()
+
+    @property
+    def node(self) -> np.ndarray:
+        return NODE[self.byte].ravel()
+
+    @property
+    def place(self) -> np.ndarray:
+        return np.repeat(self.places, 8)
+
+    @property
+    def slots(self) -> list[np.ndarray]:
+        return [self.slots_of(k).ravel() for k in range(_K)]
+
+
+def _word_runs(batches: Iterator[pa.RecordBatch], column: int = 0, most: int = 30_000) -> Iterator[tuple[list[bytes], pa.RecordBatch]]:
     for b in batches:
         lo, size, lengths = 0, 0, [len(w) for w in b.column(column).to_pylist()]
         for hi in range(b.num_rows + 1):
-            if hi == b.num_rows or hi - lo >= most or size + lengths[hi] > 40_000 and hi > lo:
+            if hi == b.num_rows or hi - lo >= most or size + lengths[hi] > RUN_BYTES and hi > lo:
                 if hi > lo:
                     part = b.slice(lo, hi - lo)
                     yield part.column(column).to_pylist(), part
@@ -293,15 +358,17 @@ def _count_bits(bits: tuple[int, ...], documents: bool = False):
     first = np.cumsum([0, *((2 << n) // _BLOCK for n in bits)])
 
     def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(2 << n, np.float32) for n in bits]
+        tables = [np.zeros(2 << n, np.uint32) for n in bits]
         some = False
-        for words, part in _word_runs(batches):
-            rows = Bits(words, bits, part.column(1).to_pylist() if documents else None)
+        for words, skip in _spelled(batches, documents):
+            rows = Bits(words, bits, skip)
             some = True
-            for k in range(_K):
-                # few of the slots are touched at a time
-                slots, n = np.unique(rows.slots[k] * 2 + rows.bit, return_counts=True)
-                tables[k][slots] += n
+            kinds, _, times = rows.same()
+            times = np.repeat(times, 8).astype(np.uint32)
+            for k in range(_K - 1):
+                np.add.at(tables[k], rows.entries_of(k, kinds).ravel(), times)
+            for lo in range(0, len(rows.byte), STEP_BYTES):
+                np.add.at(tables[-1], rows.entries_of(_K - 1, slice(lo, lo + STEP_BYTES)).ravel(), np.uint32(1))
         if not some:
             return
         for k, table in enumerate(tables):
@@ -338,6 +405,9 @@ def _add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 _GATES = (256, (_K + 1) * 4)
 _BUCKETS = 33
+#: One more predictor that knows something moves the second gate so far.
+_DEEPER = 4
+_NODE_GATE = NODE * _GATES[1]
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -355,41 +425,69 @@ def _logits(one: np.ndarray, zero: np.ndarray) -> np.ndarray:
 
 
 class Tables:
-    """The bit counts, and what pricing or learning needs of them: made once a worker."""
+    """The bit counts, and what pricing or learning needs of them: made once a worker.
+
+    What comes by broadcast stays compressed, and a worker holds one of the two at a time.
+    """
 
     def __init__(self, bits: tuple[int, ...], counts: list[np.ndarray]) -> None:
-        self.bits, self.counts = bits, counts
-        self.logits: list[np.ndarray] | None = None
-        self.without: list[np.ndarray] | None = None
+        self.bits, self._counts, self._packed = bits, counts, None
+        self._made: tuple[bool, list[np.ndarray]] | None = None
 
     def __getstate__(self) -> tuple:
-        return self.bits, self.counts
+        """Compressed, the bytes of a count apart: a broadcast lies on the disk of the driver and of every executor."""
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=1).compress
+        return self.bits, self._packed or [compress(np.ascontiguousarray(c.astype("<f4").view(np.uint8).reshape(-1, 4).T)) for c in self._counts]
 
     def __setstate__(self, state: tuple) -> None:
-        self.__init__(*state)
+        self.__init__(state[0], None)
+        self._packed = state[1]
 
-    def _gates(self, bits: Bits, x: list[np.ndarray]) -> list[np.ndarray]:
-        depth = sum((c != 0).view(np.int8) for c in x)
-        return [bits.node, depth.astype(np.int64) * 4 + bits.place]
+    def _table(self, k: int) -> np.ndarray:
+        if self._counts is not None:
+            return self._counts[k]
+        import zstandard
+
+        raw = zstandard.ZstdDecompressor().decompress(self._packed[k])
+        return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<f4").ravel()
+
+    @property
+    def counts(self) -> list[np.ndarray]:
+        return [self._table(k) for k in range(_K)]
+
+    def _logits(self, k: int, learn: bool) -> np.ndarray:
+        """Of predictor k by slot; for learning by slot and bit, without the bit itself: its own count one less."""
+        c = self._table(k)
+        zero, one = c[::2], c[1::2]
+        if not learn:
+            return _logits(one, zero)
+        by_bit = np.empty_like(c)
+        by_bit[::2] = _logits(one, np.maximum(zero - 1, 0))
+        by_bit[1::2] = _logits(np.maximum(one - 1, 0), zero)
+        return by_bit
+
+    def logits(self, learn: bool) -> list[np.ndarray]:
+        if self._made is None or self._made[0] != learn:
+            self._made = None
+            self._made = learn, [self._logits(k, learn) for k in range(_K)]
+            tx.release()
+        return self._made[1]
+
+    def inputs(self, bits: Bits, k: int, at: slice | np.ndarray = slice(None), learn: bool = False) -> np.ndarray:
+        """The logits of predictor k for some bytes, eight in a row; where bits are learned, without the bit itself."""
+        return _rows(self.logits(learn)[k], bits.entries_of(k, at) if learn else bits.slots_of(k, at))
+
+    def short_inputs(self, bits: Bits, first: np.ndarray, learn: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+        """Of a byte of each kind the logits of all predictors but the longest, and its gate as if that one knew nothing."""
+        x = [self.inputs(bits, k, first, learn) for k in range(_K - 1)]
+        return x, sum((c != 0).astype(np.int64) for c in x) * _DEEPER + bits.places[first][:, None]
 
     def price_inputs(self, bits: Bits) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        if self.logits is None:
-            self.logits, self.without = [_logits(c[1::2], c[::2]) for c in self.counts], None
-        x = [t[s] for t, s in zip(self.logits, bits.slots)]
-        return x, self._gates(bits, x)
-
-    def learn_inputs(self, bits: Bits) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Without the word itself: its own bit counts one less."""
-        if self.without is None:
-            self.without = []
-            for c in self.counts:
-                zero, one = c[::2], c[1::2]
-                by_bit = np.empty_like(c)
-                by_bit[::2] = _logits(one, np.maximum(zero - 1, 0))
-                by_bit[1::2] = _logits(np.maximum(one - 1, 0), zero)
-                self.without.append(by_bit)
-        x = [t[s * 2 + bits.bit] for t, s in zip(self.without, bits.slots)]
-        return x, self._gates(bits, x)
+        """The logits of each predictor and the gates, bit by bit."""
+        x = [self.inputs(bits, k).ravel() for k in range(_K)]
+        return x, [bits.node, sum((c != 0).astype(np.int64) for c in x) * _DEEPER + bits.place]
 
 
 class Mixer:
@@ -401,45 +499,94 @@ class Mixer:
         self.ones = np.zeros(_GATES[1] * _BUCKETS)
         self.seen = 0
 
-    def mix(self, x: list[np.ndarray], gates: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros(len(x[0]), np.float32)
-        for w, g in zip(self.weights, gates):
-            for k in range(_K):
-                out += w[k][g] * x[k]
-        return out
+    def _joint(self) -> np.ndarray:
+        """The weights of each predictor by both gates."""
+        return (self.weights[0][:, :, None] + self.weights[1][:, None, :]).reshape(_K, -1)
 
-    def _cell(self, logit: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        bucket = np.clip(np.rint(logit * 2) + _BUCKETS // 2, 0, _BUCKETS - 1)
+    @staticmethod
+    def _cell(logit: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        bucket = np.rint(logit * np.float32(2))
+        bucket += np.float32(_BUCKETS // 2)
+        np.clip(bucket, 0, _BUCKETS - 1, out=bucket)
         return gate * _BUCKETS + bucket.astype(np.int64)
 
-    def refine(self, logit: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        p, cell = _squash(logit), self._cell(logit, gate)
-        better = (self.ones[cell] + 50 * p) / (self.hits[cell] + 50)
-        return np.clip((p + better) / 2, 1e-5, 1 - 1e-5)
-
-    def learn(self, x: list[np.ndarray], gates: list[np.ndarray], bit: np.ndarray) -> None:
-        rate = 0.15 * 1.0 / (1 + self.seen / 2e6) ** 0.3
-        for lo in range(0, len(bit), BATCH):
-            s = slice(lo, lo + BATCH)
-            own, y = [g[s] for g in gates], bit[s].astype(np.float32)
-            part = [c[s] for c in x]
-            logit = self.mix(part, own)
-            cell = self._cell(logit, own[1])
-            self.hits += np.bincount(cell, minlength=len(self.hits))
-            self.ones += np.bincount(cell, weights=y, minlength=len(self.ones))
-            error = y - _squash(logit)
-            steps = [error * c for c in part]
-            for w, g in zip(self.weights, own):
-                n = np.bincount(g, minlength=w.shape[1]) + 30.0
-                for k in range(_K):
-                    w[k] += (rate * np.bincount(g, weights=steps[k], minlength=w.shape[1]) / n).astype(np.float32)
-        self.seen += len(bit)
+    def learn(self, tables: Tables, bits: Bits) -> None:
+        first, kind, _ = bits.same()
+        short, gates = tables.short_inputs(bits, first, learn=True)
+        for lo in range(0, len(bits.byte), BATCH // 8):
+            s = slice(lo, lo + BATCH // 8)
+            byte, own = bits.byte[s], kind[s]
+            x = [*(_rows(c, own) for c in short), tables.inputs(bits, _K - 1, s, learn=True)]
+            gate = _rows(gates, own)
+            gate += (x[-1] != 0) * _DEEPER
+            joint = _rows(_NODE_GATE, byte)
+            joint += gate
+            logit = np.zeros(gate.shape, np.float32)
+            for w, c in zip(self._joint(), x):
+                part = _rows(w, joint)
+                part *= c
+                logit += part
+            bit = _rows(BIT, byte)
+            cell = self._cell(logit, gate)
+            cell *= 2
+            cell += bit
+            met = np.bincount(cell.ravel(), minlength=2 * len(self.hits))
+            self.hits += met[::2]
+            self.hits += met[1::2]
+            self.ones += met[1::2]
+            error = _rows(_BIT, byte)
+            error -= _squash(logit)
+            joint = joint.ravel()
+            # by both gates at once: either gate's sums are those over the other; the last row is how many
+            sums = np.empty((_K + 1, _GATES[0] * _GATES[1]))
+            for k, c in enumerate(x):
+                c *= error
+                sums[k] = np.bincount(joint, weights=c.ravel(), minlength=sums.shape[1])
+            sums[_K] = np.bincount(joint, minlength=sums.shape[1])
+            sums = sums.reshape(_K + 1, *_GATES)
+            rate = 0.15 * 1.0 / (1 + self.seen / 2e6) ** 0.3
+            for w, own in zip(self.weights, (sums @ np.ones(_GATES[1]), np.ones(_GATES[0]) @ sums)):
+                w += rate * own[:_K] / (own[_K] + 30.0)
+            self.seen += 8 * len(byte)
 
     def log10(self, tables: Tables, words: list[bytes], skip: list[int] | None = None) -> np.ndarray:
+        """log10 probability of each of some words, or of pieces of documents without their context."""
         bits = Bits(words, tables.bits, skip)
-        x, gates = tables.price_inputs(bits)
-        p = self.refine(self.mix(x, gates), gates[1])
-        return np.bincount(bits.word, weights=np.log10(np.where(bits.bit == 1, p, 1 - p)), minlength=len(words))
+        first, kind, _ = bits.same()
+        short, gates = tables.short_inputs(bits, first)
+        weights, joint = self._joint(), _NODE_GATE[bits.byte[first]] + gates
+        # what the shorter contexts say where the longest one is unknown, and where it is not, then with its weight
+        known = joint + _DEEPER
+        unknown, shorter = (sum(_rows(w, at) * c for w, c in zip(weights, short)) for at in (joint, known))
+        weight = _rows(weights[-1], known)
+        # (p + (ones + 50 p) / (hits + 50)) / 2, of the bit that came: slope p + rest
+        slope = (0.5 + 25 / (self.hits + 50)).astype(np.float32)
+        one = self.ones / (self.hits + 50) / 2
+        rest = np.column_stack([0.5 - 25 / (self.hits + 50) - one, one]).astype(np.float32).ravel()
+        out = np.zeros(len(bits.byte))
+        for lo in range(0, len(out), STEP_BYTES):
+            s = slice(lo, lo + STEP_BYTES)
+            byte, own = bits.byte[s], kind[s]
+            x = tables.inputs(bits, _K - 1, s)
+            has = x != 0
+            x *= _rows(weight, own)
+            x += _rows(shorter, own)
+            logit, gate = _rows(unknown, own), _rows(gates, own)
+            np.copyto(logit, x, where=has)
+            gate += has * _DEEPER
+            cell = self._cell(logit, gate)
+            logit *= _rows(_SIGN, byte)
+            p = _squash(logit)
+            p *= _rows(slope, cell)
+            cell *= 2
+            cell += _rows(BIT, byte)
+            p += _rows(rest, cell)
+            np.clip(p, 1e-5, 1 - 1e-5, out=p)
+            whole = p[:, 0].astype(np.float64)
+            for j in range(1, 8):
+                whole *= p[:, j]
+            out[s] = np.log10(whole)
+        return np.bincount(bits.word, weights=out, minlength=len(words))
 
 
 def _train(tables_of, documents: bool = False):
@@ -447,9 +594,8 @@ def _train(tables_of, documents: bool = False):
         import pickle
 
         mixer, tables = Mixer(), tables_of.value
-        for words, part in _word_runs(batches):
-            bits = Bits(words, tables.bits, part.column(1).to_pylist() if documents else None)
-            mixer.learn(*tables.learn_inputs(bits), bits.bit)
+        for words, skip in _spelled(batches, documents):
+            mixer.learn(tables, Bits(words, tables.bits, skip))
         if mixer.seen:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((mixer.weights, mixer.hits, mixer.ones, mixer.seen, False))], pa.binary())], names=["mixer"])
 
@@ -594,10 +740,11 @@ def _sum_up(everything: Level, levels: list[Level], log_priors: np.ndarray):
     return run_over
 
 
-def _learned(spark: SparkSession, rows: DataFrame, bits: tuple[int, ...], tasks: int, documents: bool):
-    """Broadcast tables and mixer of some words, or of pieces of documents."""
+def _learned(spark: SparkSession, rows: DataFrame, bits: tuple[int, ...], size: int, documents: bool):
+    """Broadcast tables and mixer of a column of words, or of texts, of about ``size`` bytes."""
     sc = spark.sparkContext
-    met = rows.mapInArrow(_count_bits(bits, documents), "block int, counts binary")
+    tasks = max(sc.defaultParallelism, -(-size // COUNT_BYTES))
+    met = rows.coalesce(tasks).mapInArrow(_count_bits(bits, documents), "block int, counts binary")
     if tasks > GROUP_TASKS:  # two levels, so that no group has a row of every task
         met = met.withColumn("some", F.spark_partition_id() % GROUP_TASKS).groupBy("some", "block").applyInArrow(_add, "block int, counts binary")
     met = met.groupBy("block").applyInArrow(_add, "block int, counts binary")
@@ -619,15 +766,17 @@ def mixing_scores(spark: SparkSession, docs: DataFrame, folds: int = 10, experts
     known = {r["lang"]: e for e, r in enumerate(by_lang)}
     train = docs.where(~F.col("held_out")).select("text")
     size = train.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    pieces = train.mapInArrow(_spelled, "piece binary, context int")
-    scan, schema = _scan(known, *_learned(spark, pieces, table_bits(size // BYTES_PER_SLOT, max_table_bits), -(-size // (PIECE_BYTES * 64)), True))
+    of_documents = _learned(spark, train, table_bits(size // BYTES_PER_SLOT, max_table_bits), size, True)
+    scan, schema = _scan(known, *of_documents)
     scanned = scratch.stage(docs.mapInArrow(scan, schema), "scan")
+    for x in of_documents:  # their copies on disk
+        x.destroy()
     own = [f"n{e}" for e in range(len(known) + 1)]
     wanted = scanned.where("word is not null")
     vocabulary = scratch.stage(wanted.groupBy("word").agg(*(F.sum(c).alias(c) for c in own)), "vocabulary")
     total = sum((F.col(c) for c in own[1:]), F.col(own[0]))
     facts = [f(c) for c in (total, *(F.col(x) for x in own)) for f in (F.sum, lambda c: F.count(F.when(c > 0, 1)), lambda c: F.count(F.when(c == 1, 1)), lambda c: F.count(F.when(c == 2, 1)))]
-    row = vocabulary.agg(*(f.alias(f"f{i}") for i, f in enumerate(facts))).head()
+    word_bytes, *row = vocabulary.agg(F.sum(F.octet_length("word")), *(f.alias(f"f{i}") for i, f in enumerate(facts))).head()
     everything, *levels = (Level(*row[i : i + 4]) for i in range(0, len(row), 4))
     # half a document's worth of trust in each expert, the shared model among them; less in the mixer of documents, which
     # costs a text three digits and leaves short ones at what their counts say
@@ -635,9 +784,8 @@ def mixing_scores(spark: SparkSession, docs: DataFrame, folds: int = 10, experts
     log_priors = np.log10(shares / shares.sum())
 
     words = vocabulary.where(total > 0).select("word")
-    tasks = max(1, -(-everything.distinct // WORDS_PER_TASK))
     # the vocabulary was dealt by hash when its counts were added up: its files are streams of words in no order of their own
-    tables_of, mixer_of = _learned(spark, words, table_bits(everything.distinct, max_table_bits), tasks, False)
+    tables_of, mixer_of = _learned(spark, words, table_bits(everything.distinct, max_table_bits), word_bytes or 0, False)
     priced = vocabulary.mapInArrow(_price(tables_of, mixer_of, everything, levels), "word binary, prices binary")
 
     asked = wanted.select("place", "word").hint("shuffle_merge").join(priced, "word").select("place", F.col("prices").alias("value"))

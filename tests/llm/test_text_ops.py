@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
+import pickle
 import random
 import re
 import unicodedata
@@ -482,6 +484,90 @@ def test_scoring_pieces_change_nothing(monkeypatch):
     assert all(a.tolist() == b.tolist() for a, b in zip(parts.slots, whole.slots))
 
 
+def _disk(spark):
+    """Bytes that lie in the driver's temporary folder, where broadcasts are written."""
+    return sum(os.path.getsize(os.path.join(d, x)) for d, _, names in os.walk(spark.sparkContext._temp_dir) for x in names)
+
+
+def test_scoring_broadcasts_take_little_disk(spark):
+    """Tables lie on the disk of the driver and of each executor: compressed, and those of documents go once they are scanned."""
+    before = _disk(spark)
+    out = mixing_scores(spark, frame(spark, [(i, prose(i, 80), "en", "s", 1) for i in range(60)]).repartition(12))
+    assert out.count() == 60
+    assert 0 < _disk(spark) - before < 2e6
+
+
+def test_scoring_tables_survive_their_way():
+    tables = _counted([f"w{i:x}y".encode() for i in range(4000)], (17, 19, 19, 19, 19))
+    raw = pickle.dumps(tables)
+    got = pickle.loads(raw)
+    assert len(raw) < sum(c.nbytes for c in tables.counts) / 20
+    assert got.bits == tables.bits and all((a == b).all() and a.dtype == b.dtype for a, b in zip(got.counts, tables.counts))
+
+
+def test_scoring_holds_one_form_of_the_tables():
+    """A worker that learned and then prices keeps the compressed counts and the logits of prices, nothing else."""
+    tables = pickle.loads(pickle.dumps(_counted([b"abc", b"abd"], (17, 19, 19, 19, 19))))
+    for learn in (True, False):
+        bits = Bits([b"abc"], tables.bits)
+        tables.short_inputs(bits, bits.same()[0], learn)
+    held = [a for v in vars(tables).values() for x in (v if isinstance(v, (list, tuple)) else [v]) for a in (x if isinstance(x, list) else [x]) if isinstance(a, np.ndarray)]
+    assert sum(a.nbytes for a in held) == sum(4 << n for n in tables.bits)
+
+
+def _refined(mixer, logit, gate):
+    p = 1 / (1 + np.exp(-logit.astype(float)))
+    cell = gate * 33 + np.clip(np.rint(logit * 2) + 16, 0, 32).astype(int)
+    return np.clip((p + (mixer.ones[cell] + 50 * p) / (mixer.hits[cell] + 50)) / 2, 1e-5, 1 - 1e-5), cell
+
+
+@pytest.mark.parametrize("documents", [False, True])
+def test_scoring_mixes_as_bit_by_bit(documents):
+    """What is worked out once for equal contexts gives the counts, weights and prices of every bit on its own."""
+    import docweave.llm.scoring as scoring
+
+    texts = [(prose(i, 300) + " \x00a Ünïcode " + "ab" * 40).encode() for i in range(6)]
+    if documents:
+        words, skip = [b"".join(p for p, _ in scoring._pieces(t)) for t in texts], [i for i in range(6)]
+    else:
+        words, skip = sorted({w for t in texts for w in scoring._tokens(t)}), None
+    bits = Bits(words, (17, 19, 19, 19, 19), skip)
+    assert len(bits) == len(bits.bit) == len(bits.place) == 8 * sum(len(w) + (not documents and w != b"\n") - (skip[i] if documents else 0) for i, w in enumerate(words))
+    counts = [np.bincount(s * 2 + bits.bit, minlength=2 << n).astype(np.float32) for s, n in zip(bits.slots, bits.bits)]
+    if not documents:
+        assert all((a == b).all() for a, b in zip(_counted(words, bits.bits).counts, counts))
+    tables, mixer = Tables(bits.bits, counts), scoring.Mixer()
+
+    # learning: a batch at a time, each bit without itself
+    weights, hits, ones, seen = [w.astype(float) for w in mixer.weights], mixer.hits.copy(), mixer.ones.copy(), 0
+    for lo in range(0, len(bits), scoring.BATCH):
+        s = slice(lo, lo + scoring.BATCH)
+        y, x = bits.bit[s], []
+        for c, slots in zip(counts, bits.slots):
+            one, zero = c[1::2][slots[s]] - y, c[::2][slots[s]] - (1 - y)
+            x.append(scoring._logits(one.astype(np.float32), zero.astype(np.float32)).astype(float))
+        gates = [bits.node[s], sum((v != 0).astype(int) for v in x) * 4 + bits.place[s]]
+        logit = sum(w[k][g] * x[k] for w, g in zip(weights, gates) for k in range(5))
+        _, cell = _refined(mixer, logit, gates[1])
+        np.add.at(hits, cell, 1)
+        np.add.at(ones, cell, y)
+        error, rate = y - 1 / (1 + np.exp(-logit)), 0.15 / (1 + seen / 2e6) ** 0.3
+        for w, g in zip(weights, gates):
+            n = np.bincount(g, minlength=w.shape[1]) + 30
+            for k in range(5):
+                w[k] += rate * np.bincount(g, weights=error * x[k], minlength=w.shape[1]) / n
+        seen += len(y)
+    mixer.learn(tables, bits)
+    assert mixer.seen == seen and mixer.hits.sum() == seen and mixer.ones.sum() == bits.bit.sum()
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(mixer.weights, weights))
+    assert abs(mixer.hits - hits).sum() < seen / 1000 and abs(mixer.ones - ones).sum() < seen / 1000  # roundings at a bucket's edge
+
+    x, gates = tables.price_inputs(bits)
+    p, _ = _refined(mixer, sum(w[k][g] * x[k] for w, g in zip(mixer.weights, gates) for k in range(5)), gates[1])
+    want = np.bincount(np.repeat(bits.word, 8), weights=np.log10(np.where(bits.bit == 1, p, 1 - p)), minlength=len(words))
+    assert np.allclose(mixer.log10(tables, words, skip), want, rtol=1e-4, atol=1e-3)
+
+
 def _toxic_rows(n):
     return [(i, prose(i, 120) + (" vilenessword rottenone" if i % 4 == 0 else "") + " " + prose(9000 + i, 60), "en", "s", 1) for i in range(n)]
 

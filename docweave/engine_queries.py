@@ -29,7 +29,7 @@ from .schema.mapping import example_document, index_body
 from .schema.validate import validate
 from .sinks.bulk import BulkSink, Client
 from .sinks.store import FanOut, JsonSink, ParquetSink, Sink
-from .sinks.trial import TrialCluster
+from .sinks.trial import FileStore, TrialCluster
 from .sources.registry import ForeignKey, is_junction
 from .streaming.maintain import Maintainer, TransactionBuffer, lag, log_changes
 from .streaming.resolve import affected, missing_tables, typed_keys
@@ -194,7 +194,8 @@ def k1_k7_fan_out(s: SparkSession, d: str) -> DataFrame:
 def k3_k4_k12_bulk_sink(s: SparkSession, d: str) -> DataFrame:
     """All orders through the bulk interface of a stand-in cluster that fails twice; a reindex that broke off has left generation 1."""
     r = registry(s, d)
-    with TrialCluster(s.conf.get("spark.driver.host"), fail=2) as cluster:
+    store = FileStore(s, sink_root(s))
+    with TrialCluster(s.conf.get("spark.driver.host"), fail=2, keep=store) as cluster:
         sink = BulkSink(Client(cluster.url), "t_", batch_size=500, max_bytes=40_000)
         m = Maintainer(s, [_TOTALS], lambda: r, sink)
         m.ensure()
@@ -203,8 +204,9 @@ def k3_k4_k12_bulk_sink(s: SparkSession, d: str) -> DataFrame:
         m.reindex()
         held = cluster.aliases[sink.alias(_TOTALS)]
         bounded = all(n <= 500 and size <= 40_000 for n, size in cluster.requests)
-        rows = [(i, doc["total"], bounded, cluster.failed, int(held.rpartition("_")[2])) for i, doc in cluster.indexes[held].items()]
-    return s.createDataFrame(rows, "_id string, total double, bounded boolean, tried_again long, generation long")
+    total = F.get_json_object("doc", "$.total").cast("double").alias("total")
+    facts = (F.lit(bounded).alias("bounded"), F.lit(cluster.failed).cast("long").alias("tried_again"), F.lit(int(held.rpartition("_")[2])).cast("long").alias("generation"))
+    return store.read(held).select("_id", total, *facts)
 
 
 @_query(f"SELECT {_ID}, CASE WHEN o_orderstatus = 'P' THEN 'quarantined' ELSE 'written' END AS went FROM orders")

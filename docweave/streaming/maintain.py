@@ -132,7 +132,7 @@ class Maintainer:
             registry = self.registry()
             for s in self.schemas:
                 if touched & set(s.tables()):
-                    keys = affected(s, registry, changes).persist()
+                    keys = affected(s, registry, changes, touched).persist()
                     try:
                         self._write(self.sink, s, build_many(s, registry, keys), number + 1, caught_up)  # 0 is the seed
                     finally:

@@ -11,6 +11,9 @@ parent by ``before`` where the change carries it.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema.model import Field, Schema
@@ -67,40 +70,65 @@ def _straight(changes: DataFrame, column: str, kind) -> DataFrame:
     return changes.select(both).select(typed_key(F.col("v"), kind, column).alias("k")).where("k is not null")
 
 
-def affected(schema: Schema, registry: Registry, changes: DataFrame) -> DataFrame:
-    """Distinct root keys (in the root's own types) whose documents may have changed."""
+def _link(f: Field) -> tuple:
+    """What a hop over a relation depends on: fields of one link have it in common."""
+    own = f.type == "belongs_to"
+    return own, f.table, f.foreign_key, f.column if own else None, f.primary_key if own or f.through else None, f.through
+
+
+def _node(path: tuple[Field, ...]) -> tuple:
+    return tuple((_link(f), f.primary_key) for f in path)
+
+
+def affected(schema: Schema, registry: Registry, changes: DataFrame, touched: set[str] | None = None) -> DataFrame:
+    """Distinct root keys (in the root's own types) whose documents may have changed.
+
+    Paths of the same links are walked once, and keys that meet in one table go on together.
+    ``touched``: the changed tables, where they are known.
+    """
     types = registry.frame(schema.table).schema
     root = changes.where(F.col("table") == schema.table)
     own = root.select(*(typed_key(F.col("key")[k], types[k].dataType, k).alias(k) for k in schema.primary_key))
     found = [own]
-    for path in relation_paths(schema):
-        f = path[-1]
-        tables = {f.table} | ({f.through.table} if f.through else set())
-        for table in sorted(tables):
-            rows = changes.where(F.col("table") == table)
-            keys = registry.key(table)
-            parent_table, parent_key = _parent(schema, path)
-            kind = registry.type_of(parent_table, parent_key)
-            if f.through and table == f.through.table:
-                up = _straight(rows, f.through.left_key, kind)
-                if len(keys) == 1 and keys[0] != f.through.left_key:
-                    own_keys = _straight(rows, keys[0], registry.type_of(table, keys[0]))
-                    up = up.unionByName(registry.frame(table).join(own_keys.distinct(), F.col(f"`{keys[0]}`") == F.col("k"), "left_semi").select(F.col(f"`{f.through.left_key}`").alias("k")))
-            else:
+    paths = relation_paths(schema)
+    above: dict[tuple, list[DataFrame]] = defaultdict(list)  # keys (k) of a node's rows, by its path
+    for length in range(max(map(len, paths), default=0), 0, -1):
+        hops: dict[tuple, tuple[tuple[Field, ...], str, list[DataFrame]]] = {}
+        seen = set()
+
+        def hop(path: tuple[Field, ...], column: str, keys: DataFrame) -> None:
+            kind = keys.schema["k"].dataType.simpleString()  # others would be coerced
+            hops.setdefault((_node(path[:-1]), _link(path[-1]), column, kind), (path, column, []))[2].append(keys)
+
+        for path in (p for p in paths if len(p) == length):
+            f, to = path[-1], _node(path[:-1])
+            for deeper in above.pop(_node(path), ()) if f.kind == "join" else ():
+                hop(path, f.primary_key, deeper)
+            tables = {f.table} | ({f.through.table} if f.through else set())
+            for table in sorted(tables if touched is None else tables & touched):
+                keys = registry.key(table)
                 column = keys[0] if len(keys) == 1 else f.primary_key or f.foreign_key
-                up = _up(schema, registry, path, _straight(rows, column, registry.type_of(table, column)), column)
+                if (what := (to, _link(f), table, column)) in seen:
+                    continue
+                seen.add(what)
+                rows = changes.where(F.col("table") == table)
+                kind = registry.type_of(*_parent(schema, path))
+                if f.through and table == f.through.table:
+                    above[to].append(_straight(rows, f.through.left_key, kind))
+                    if len(keys) == 1 and keys[0] != f.through.left_key:
+                        own_keys = _straight(rows, keys[0], registry.type_of(table, keys[0]))
+                        above[to].append(registry.frame(table).join(own_keys.distinct(), F.col(f"`{keys[0]}`") == F.col("k"), "left_semi").select(F.col(f"`{f.through.left_key}`").alias("k")))
+                    continue
+                if column != f.foreign_key:  # else the hop finds nothing but its own keys
+                    hop(path, column, _straight(rows, column, registry.type_of(table, column)))
                 if f.foreign_key:  # known without reading the child, so also when it has gone
-                    up = up.unionByName(_straight(rows, f.foreign_key, kind))
-            rest = path[:-1]
-            while rest:
-                up = _up(schema, registry, rest, up.where("k is not null").distinct(), rest[-1].primary_key)
-                rest = rest[:-1]
-            if len(schema.primary_key) == 1:
-                found.append(up.select(F.col("k").cast(types[schema.primary_key[0]].dataType).alias(schema.primary_key[0])))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out.dropna().distinct()
+                    above[to].append(_straight(rows, f.foreign_key, kind))
+        for (to, *_), (path, column, keys) in hops.items():
+            above[to].append(_up(schema, registry, path, reduce(DataFrame.unionByName, keys).where("k is not null"), column))
+    if len(schema.primary_key) == 1:
+        key = schema.primary_key[0]
+        found += [up.select(F.col("k").cast(types[key].dataType).alias(key)) for up in above[()]]
+    return reduce(DataFrame.unionByName, found).dropna().distinct()
 
 
 def split_key_changes(changes: DataFrame) -> DataFrame:

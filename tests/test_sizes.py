@@ -4,7 +4,16 @@ from __future__ import annotations
 
 import json
 
+from docweave.queries import CUSTOMER, _changes, registry, schema
 from docweave.sinks.trial import FileStore, TrialCluster
+from docweave.streaming.resolve import affected
+
+SF = "/root/testdata/sf0.001"
+
+
+def _joins(df, how: str = "") -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count(f"Join {how}")
+
 
 def test_trial_cluster_keeps_documents_in_files(spark, tmp_path):
     cluster = TrialCluster(keep=FileStore(spark, f"{tmp_path}/kept", most_bytes=300))  # no port before it is entered
@@ -17,3 +26,9 @@ def test_trial_cluster_keeps_documents_in_files(spark, tmp_path):
     assert cluster.indexes["a"] == {} and sum(map(len, cluster.keep.waiting.values())) < 10 and len(cluster.requests) == 1 and cluster.requests[0][0] == 20
     assert {(r["_id"], r["doc"]) for r in cluster.keep.read("a").collect()} == {(str(i), '{"n": 2}') for i in range(20) if i != 7}
     assert cluster.answer("DELETE", "a", b"")[0] == 200 and cluster.keep.read("a").count() == 0
+
+
+def test_paths_of_one_link_are_walked_once(spark):
+    r = registry(spark, SF)
+    one = affected(schema(CUSTOMER, "customers"), r, _changes(spark, SF, "orders", "o_orderkey"))
+    assert _joins(one, "LeftSemi") == 1  # was one for each of nine fields

@@ -32,3 +32,13 @@ def test_paths_of_one_link_are_walked_once(spark):
     r = registry(spark, SF)
     one = affected(schema(CUSTOMER, "customers"), r, _changes(spark, SF, "orders", "o_orderkey"))
     assert _joins(one, "LeftSemi") == 1  # was one for each of nine fields
+
+
+def test_changes_of_several_tables_go_up_together(spark):
+    r = registry(spark, SF)
+    changes = _changes(spark, SF, "orders", "o_orderkey")
+    for table, key in (("lineitem", "l_orderkey"), ("nation", "n_nationkey"), ("region", "r_regionkey")):
+        changes = changes.unionByName(_changes(spark, SF, table, key))
+    found = affected(schema(CUSTOMER, "customers"), r, changes)
+    assert _joins(found, "LeftSemi") <= 4 + 2  # orders, lines by their number, nations, regions
+    assert {x[0] for x in found.collect()} == {x[0] for x in r.frame("customer").select("c_custkey").collect()}

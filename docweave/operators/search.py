@@ -15,6 +15,9 @@ from .clauses import Bool, Clause, Match, MatchAll, MultiMatch, QueryError, Scop
 from .handles import Group, fields
 from .sorting import SCORE, Sort, after_tuple
 
+#: Fixed value: ids of a page that are literals at most; larger pages are one plan.
+PAGE_LITERALS = 1000
+
 
 @dataclass(frozen=True)
 class NestedProjection:
@@ -207,7 +210,11 @@ class Search:
 
     def hits(self) -> DataFrame:
         """The page: _id, _score and the document's fields, in order."""
-        df, scope, order = self.matched(), Scope(self.index.type), self._order()
+        return self._dressed(self._paged(self.matched()))
+
+    def _paged(self, df: DataFrame) -> DataFrame:
+        """Of the matches the page, in order."""
+        scope, order = Scope(self.index.type), self._order()
         if self.collapse_field:
             c = scope.values(self.collapse_field)
             if c is None:
@@ -223,6 +230,11 @@ class Search:
             if self.start:
                 df = df.offset(self.start)
             df = df.limit(10 if self.limit is None else self.limit)
+        return df
+
+    def _dressed(self, df: DataFrame) -> DataFrame:
+        """A page's documents as they are shown."""
+        scope = Scope(self.index.type)
         for p in self.projections:
             df = p.apply(df, scope)
         if self.highlights:
@@ -257,6 +269,22 @@ class Search:
         """Matches of the query alone: paging, sorting, min_score and post_filter don't count."""
         return self.index.frame.where(self.clause().match(Scope(self.index.type))).count()
 
+    def _page_rows(self) -> list[dict[str, Any]]:
+        """The page's rows.  Its ids come first, from what matching and sorting read; then only its documents are built."""
+        if self.every:
+            return [r.asDict(recursive=True) for r in self.hits().collect()]
+        df = self.matched()
+        ids = [r["_id"] for r in self._paged(df).select("_id").collect()]
+        if not ids:
+            return []
+        if None in ids or len(set(ids)) < len(ids) or len(ids) > PAGE_LITERALS:  # no documents of an index, or too many to name
+            return [r.asDict(recursive=True) for r in self.hits().collect()]
+        found = [r.asDict(recursive=True) for r in self._dressed(df.where(F.col("_id").isin(ids))).collect()]
+        if len(found) != len(ids):  # an id is not unique
+            return [r.asDict(recursive=True) for r in self.hits().collect()]
+        place = {id_: i for i, id_ in enumerate(ids)}
+        return sorted(found, key=lambda r: place[r["_id"]])
+
     def send(self, track_total: bool | int = True, timeout: float | None = None) -> dict[str, Any]:
         """One page with its totals.  Over ``timeout`` seconds the search is given up: ``timed_out``, with what there is by then."""
         out: dict[str, Any] = {"total": None, "max_score": None, "timed_out": False, "hits": []}
@@ -273,7 +301,7 @@ class Search:
             timer = threading.Timer(timeout, give_up)
             timer.start()
         try:
-            hits = [r.asDict(recursive=True) for r in self.hits().collect()]  # one page
+            hits = self._page_rows()
             scores = [h["_score"] for h in hits if h["_score"] is not None]
             out |= {"max_score": max(scores, default=None), "hits": [{"id": h.pop("_id"), "score": h.pop("_score"), "source": h} for h in hits]}
             if track_total is True:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 
-from docweave.queries import CUSTOMER, _changes, registry, schema
+from docweave.operators.search import Search
+from docweave.queries import CUSTOMER, ORDER, _changes, _index, registry, schema
 from docweave.sinks.trial import FileStore, TrialCluster
 from docweave.streaming.resolve import affected
 
@@ -42,3 +43,19 @@ def test_changes_of_several_tables_go_up_together(spark):
     found = affected(schema(CUSTOMER, "customers"), r, changes)
     assert _joins(found, "LeftSemi") <= 4 + 2  # orders, lines by their number, nations, regions
     assert {x[0] for x in found.collect()} == {x[0] for x in r.frame("customer").select("c_custkey").collect()}
+
+
+def test_page_builds_only_its_documents(spark):
+    ix = _index(spark, SF, ORDER, "orders")
+    sent, lines = Search(ix).query(ix.fields.status.eq("F")).sort(ix.fields.total.desc()).page(3, 5), []
+    own = Search._dressed
+    try:
+        Search._dressed = lambda self, df: lines.append(df._jdf.queryExecution().optimizedPlan().toString()) or own(self, df)
+        got = sent.send()
+    finally:
+        Search._dressed = own
+    want = [r.asDict(recursive=True) for r in sent.hits().collect()]
+    assert [(h["id"], h["source"]["items"]) for h in got["hits"]] == [(r["_id"], r["items"]) for r in want]
+    ids = [r["_id"] for r in want]
+    # the lines are filtered by the page's ids before they are grouped; there was one plan over all documents
+    assert len(lines) == 1 and all(any(i in f and "l_orderkey" in f for f in lines[0].splitlines() if "Filter" in f) for i in ids)

@@ -5,7 +5,8 @@ in, grouped by the key that links it, joined to the parents on that key.  All
 relations of a node but ``belongs_to`` link by the node's own key, so they are joined one
 after the other on one partitioning.  Aggregates over the same table and link
 share one ``groupBy``.  With ``only``, every level is first cut to the keys that
-the level above asks for, so a small batch does not aggregate whole tables; up to
+the level above asks for, so a small batch does not aggregate whole tables (a batch of
+many keys cuts the root alone); up to
 ``LITERAL_KEYS`` keys are literals, which the scans of the root and its relations push down.
 """
 
@@ -25,6 +26,8 @@ from ..sources.registry import Registry
 
 #: Fixed value: keys in one literal list at most.
 LITERAL_KEYS = 512
+#: Fixed value: relations are cut to a batch of keys under this share of the root's rows (one in so many).
+CUT_BELOW = 8
 
 
 class _Names:
@@ -223,11 +226,8 @@ def root_rows(schema: Schema, registry: Registry) -> DataFrame:
     return rows.live(rows.where(df, schema.filters), schema.soft_delete, schema.soft_delete_column)
 
 
-def assemble(schema: Schema, registry: Registry, only: DataFrame | list[tuple] | None = None) -> DataFrame:
-    """All documents: ``_id`` and a column for each field.
-
-    ``only``: the root's keys to build, in a DataFrame with the key columns, or a few as a list.
-    """
+def _documents(schema: Schema, registry: Registry, only: DataFrame | list[tuple] | None, cut: bool) -> tuple[DataFrame, Column, list[Column]]:
+    """Rows with all relations joined, their ``_id`` and the fields' values.  ``cut``: relations are cut to the keys of ``only`` too."""
     df = root_rows(schema, registry)
     build = Assembler(registry)
     needed = build._needs(schema.fields) | set(schema.primary_key)
@@ -251,7 +251,16 @@ def assemble(schema: Schema, registry: Registry, only: DataFrame | list[tuple] |
         df = df.join(keys, reduce(lambda a, b: a & b, (F.col(f"`{k}`") == F.col(f"__only_{k}") for k in schema.primary_key)), "left_semi")
     key = schema.primary_key[0] if len(schema.primary_key) == 1 else None
     identity = rows.document_id(df, schema.primary_key)
-    df, values = build.node(df, key, schema.fields, only is not None, known)
+    df, values = build.node(df, key, schema.fields, cut and only is not None, known)
+    return df, identity, values
+
+
+def assemble(schema: Schema, registry: Registry, only: DataFrame | list[tuple] | None = None) -> DataFrame:
+    """All documents: ``_id`` and a column for each field.
+
+    ``only``: the root's keys to build, in a DataFrame with the key columns, or a few as a list.
+    """
+    df, identity, values = _documents(schema, registry, only, True)
     return df.select(identity.alias("_id"), *values)
 
 
@@ -265,11 +274,17 @@ def build_many(schema: Schema, registry: Registry, keys: DataFrame) -> DataFrame
     keys = keys.select(*(f"`{k}`" for k in schema.primary_key)).distinct()
     types = registry.frame(schema.table).schema
     typed = keys.select(*(F.col(f"`{k}`").cast(types[k].dataType).alias(k) for k in schema.primary_key))
-    few = typed.limit(LITERAL_KEYS + 1).collect() if len(schema.primary_key) == 1 else None
-    docs = assemble(schema, registry, keys if few is None or len(few) > LITERAL_KEYS else [tuple(r) for r in few])
-    docs = docs.select("_id", F.struct(*(f"`{f.name}`" for f in schema.fields)).alias("doc"))
-    asked = typed.select(rows.document_id(typed, schema.primary_key).alias("_id"))
-    return asked.join(docs, "_id", "left").select("_id", F.when(F.col("doc").isNull(), "delete").otherwise("upsert").alias("op"), "doc")
+    n = typed.count()
+    one = len(schema.primary_key) == 1
+    only = [tuple(r) for r in typed.collect()] if one and n <= LITERAL_KEYS else keys
+    # a cut to most of the keys there are costs a sort of every table and leaves little out
+    cut = isinstance(only, list) or n * CUT_BELOW < registry.frame(schema.table).count()
+    df, _, values = _documents(schema, registry, only, cut)
+    docs = df.select(*(F.col(f"`{k}`").alias(f"__doc_{k}") for k in schema.primary_key), F.struct(*values).alias("doc"))
+    asked = typed.select("*", rows.document_id(typed, schema.primary_key).alias("_id"))
+    # by key: documents lie by it already, and are not dealt out again
+    same = reduce(lambda a, b: a & b, (F.col(f"`{k}`") == F.col(f"`__doc_{k}`") for k in schema.primary_key))
+    return asked.join(docs, same, "left").select("_id", F.when(F.col("doc").isNull(), "delete").otherwise("upsert").alias("op"), "doc")
 
 
 def sample_document(schema: Schema, registry: Registry) -> DataFrame:

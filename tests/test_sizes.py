@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from docweave.operators.search import Search
+from docweave.plans.assemble import build_many
 from docweave.queries import CUSTOMER, ORDER, _changes, _index, registry, schema
 from docweave.sinks.trial import FileStore, TrialCluster
 from docweave.streaming.resolve import affected
@@ -59,3 +60,11 @@ def test_page_builds_only_its_documents(spark):
     ids = [r["_id"] for r in want]
     # the lines are filtered by the page's ids before they are grouped; there was one plan over all documents
     assert len(lines) == 1 and all(any(i in f and "l_orderkey" in f for f in lines[0].splitlines() if "Filter" in f) for i in ids)
+
+
+def test_large_batch_cuts_the_root_alone(spark):
+    r, own = registry(spark, SF), schema(ORDER, "orders")
+    keys = r.frame("orders").selectExpr("explode(array(o_orderkey, -1 - o_orderkey)) AS o_orderkey")
+    made = build_many(own, r, keys)
+    assert _joins(made, "LeftSemi") == 1  # each relation was cut too
+    assert {(x["_id"], x["op"]) for x in made.select("_id", "op").collect()} == {(str(x[0]), "delete" if x[0] < 0 else "upsert") for x in keys.collect()}
